@@ -9,18 +9,18 @@ from pyspark.sql import functions as F
 HOT_PARTS = 256
 
 
-def join_unique(left: DataFrame, right: DataFrame, on: str, how: str = "left", hot_parts: int = HOT_PARTS) -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, on: str, how: str = "left", hot_parts: int = HOT_PARTS, least: int = 1000) -> DataFrame:
     """Join left (any number of rows per key) to right (at most one row per key) by sort-merge.
 
     Rows of hot keys don't go through the shuffle: the right rows of hot keys, at most hot_parts, are
     broadcast. The bound holds by construction, whatever the input: each hot key holds more than
-    1/hot_parts of the left rows. All other keys are co-partitioned, sorted and merged.
+    1/hot_parts of the left rows (and at least `least` rows, below which no key is worth it). All other keys are co-partitioned, sorted and merged.
     Null keys match nothing; with how="left" their rows stay. An empty side gives the join's usual result.
     """
     counts = left.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
-    total = left.agg(F.count(F.lit(1)).alias("_all"))
-    hot = counts.join(F.broadcast(total), F.col("_n") * hot_parts > F.col("_all")).where("_n > 1000")
-    keys = [r[0] for r in hot.select(on).limit(hot_parts).collect()]
+    top = counts.where(F.col("_n") > least).orderBy(F.desc("_n")).limit(hot_parts).collect()
+    total = left.count() if top else 0
+    keys = [k for k, n in top if n * hot_parts > total]
     if not keys:
         return left.join(right.hint("merge"), on, how)
     is_hot = F.coalesce(F.col(on).isin(keys), F.lit(False))
