@@ -38,7 +38,10 @@ def words(text: str) -> list[str]:
 
 
 def _is_slot(word: str, names: frozenset[str]) -> str | None:
-    """The placeholder of a word, None for ordinary words."""
+    """The placeholder of a word, None for ordinary words.
+
+    Names are words of letters and digits and those listed; capitals say nothing, as texts come in any case.
+    """
     if word.isdigit():
         return "<number>"
     if any(c.isdigit() for c in word):
@@ -51,10 +54,9 @@ def _is_slot(word: str, names: frozenset[str]) -> str | None:
 class _Index:
     """The windows of all passages, by template."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], names: frozenset[str] = frozenset()):
         self.items = [(i, w) for i, w in ((i, words(p)) for i, p in items) if w]
-        # words written with a capital inside a sentence are names
-        self.names = frozenset(w for _, p in items for raw in re.findall(r"(?<=[a-z,] )[A-Z][^\W\d_]+", p) for w in words(raw) if False)
+        self.names = names
         self.ids: dict[str, int] = {"<number>": 1, "<name>": 2, "<unit>": 3}
         exact: dict[str, int] = {}
         starts, templates, verbatim = [], [], []
@@ -143,7 +145,7 @@ class _Index:
         return out
 
 
-def meetings(items: DataFrame, documents: DataFrame) -> DataFrame:
+def meetings(items: DataFrame, documents: DataFrame, names: frozenset[str] = frozenset()) -> DataFrame:
     """(item_id, doc_id, n_words, n_verbatim, n_template, n_runs, n_changed, consistent): one row per passage and document that share a template window.
 
     n_words: the passage's words; n_verbatim: those in runs of WINDOW or more words that stand in the document the same way;
@@ -158,7 +160,7 @@ def meetings(items: DataFrame, documents: DataFrame) -> DataFrame:
     passages = [(r[0], r[1]) for r in rows.orderBy("item_id", "passage").collect()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _Index(passages)
+        index = _Index(passages, names)
         for b in batches:
             out = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
