@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partloom.plans import problems, problems_sql
+from partloom.plans import problems, problems_sql, quality
+
+_PARTS = [(problems.QUERIES, problems_sql.ORACLES), (quality.QUERIES, quality.ORACLES)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(problems.QUERIES)
+    return {k: v for q, _ in _PARTS for k, v in q.items()}
 
 
 def oracles() -> dict[str, str]:
-    return dict(problems_sql.ORACLES)
+    return {k: v for _, o in _PARTS for k, v in o.items()}
