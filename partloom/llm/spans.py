@@ -31,6 +31,8 @@ MIN_CHARS = 200
 PERIOD, COVER = 133, (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121)
 #: hashes that a task gathers before it hands them on, and bits of an anchor's hash
 CHUNK, ANCHOR_BYTES = 2_000_000, 5
+#: ranges of hashes per split of the input, so that a task that groups hashes has the same load at any size
+BUCKETS_PER_SPLIT = 4
 #: bound of the filter of candidate records that every task holds; more candidates make it less selective, never wrong
 FILTER_BYTES = 32 << 20
 
@@ -132,12 +134,16 @@ class _Gather:
             send |= ~rep | first
         out_doc = np.where(settled, _SETTLED, doc)
         rows = []
-        for part, mask in ((None, settled), *((b, send & (bucket == b)) for b in range(self.buckets))):
-            if mask.any():
-                d = (doc if part is None else out_doc)[mask]
-                keys = b"" if part is None else np.ascontiguousarray(short[mask].view(np.uint8).reshape(-1, 8)[:, : self.bytes]).tobytes()
-                checks = b"" if part is None or not len(right) else np.stack([right[mask], left[mask]]).astype(np.uint16).tobytes()
-                rows.append((-1 - self.task % self.buckets if part is None else part, keys, checks, _squeezed(d), _squeezed(at[mask])))
+        if settled.any():
+            rows.append((-1 - self.task % self.buckets, b"", b"", _squeezed(doc[settled]), _squeezed(at[settled])))
+        order = np.nonzero(send)[0]
+        order = order[np.argsort(bucket[order], kind="stable")]
+        ends = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        for b in np.nonzero(np.diff(ends))[0].tolist():
+            mine = order[ends[b] : ends[b + 1]]
+            keys = np.ascontiguousarray(short[mine].view(np.uint8).reshape(-1, 8)[:, : self.bytes]).tobytes()
+            checks = np.stack([right[mine], left[mine]]).astype(np.uint16).tobytes() if len(right) else b""
+            rows.append((b, keys, checks, _squeezed(out_doc[mine]), _squeezed(at[mine])))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], names=["bucket", "key", "checks", "doc", "at"])
 
 
@@ -173,8 +179,8 @@ def _found_in(key_bytes: int, ats: bool):
     return found
 
 
-def _grouped(blocks: DataFrame, key_bytes: int, ats: bool = True) -> DataFrame:
-    return blocks.groupBy("bucket").applyInPandas(_found_in(key_bytes, ats), "doc_id long, at binary")
+def _grouped(blocks: DataFrame, buckets: int, key_bytes: int, ats: bool = True) -> DataFrame:
+    return blocks.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_found_in(key_bytes, ats), "doc_id long, at binary")
 
 
 def _candidates(documents: DataFrame, min_chars: int, buckets: int) -> DataFrame:
@@ -203,7 +209,7 @@ def _candidates(documents: DataFrame, min_chars: int, buckets: int) -> DataFrame
                 yield from gather.blocks()
         yield from gather.blocks()
 
-    return _grouped(documents.mapInArrow(scan, _BLOCK), ANCHOR_BYTES)
+    return _grouped(documents.mapInArrow(scan, _BLOCK), buckets, ANCHOR_BYTES)
 
 
 def _filter(ids: DataFrame, n: int):
@@ -236,7 +242,7 @@ def shared_starts(documents: DataFrame, min_chars: int = MIN_CHARS, starts: bool
     spark = documents.sparkSession
     cuts = Cuts(spark, "spans")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(f"doc_id is not null and length(text) >= {min_chars}")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
+    buckets = BUCKETS_PER_SPLIT * docs.rdd.getNumPartitions()
     width = min_chars - PERIOD + 1
     found = _candidates(docs, min_chars, buckets).groupBy("doc_id").agg(F.collect_list("at").alias("ats"))
     cand, n, _ = cuts.write(found)
@@ -271,7 +277,7 @@ def shared_starts(documents: DataFrame, min_chars: int = MIN_CHARS, starts: bool
                 yield from gather.blocks()
         yield from gather.blocks()
 
-    return _grouped(texts.select("doc_id", "text", "ats").mapInArrow(extend, _BLOCK), 8, starts)
+    return _grouped(texts.select("doc_id", "text", "ats").mapInArrow(extend, _BLOCK), buckets, 8, starts)
 
 
 def sharing_records(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
