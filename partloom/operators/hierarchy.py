@@ -38,8 +38,9 @@ def links(rows: DataFrame, parent: str, child: str) -> DataFrame:
 class Hierarchy:
     """The hierarchy of the links (parent, child), any graph; work tables go to the shared folder.
 
-    sizes: (part, size, n_children) of every part that has children and can't reach a cycle; size counts the
-    part itself and the places of all parts below it (in double precision, as shared parts may multiply).
+    sizes: (part, size, n_children, depth) of every part that has children and can't reach a cycle; size counts the
+    part itself and the places of all parts below it (in double precision, as shared parts may multiply), depth is
+    the length of the longest chain below, which is the round in which the part is finished.
     Empty links give empty results.
     """
 
@@ -64,7 +65,7 @@ class Hierarchy:
         table, n, path = self.cuts.write(state)
         while n:
             fresh = table.where("have = need")
-            fin, n_fin, fin_path = self.cuts.write(fresh.select(F.col("parent").alias("part"), "size", "n_children"))
+            fin, n_fin, fin_path = self.cuts.write(fresh.select(F.col("parent").alias("part"), "size", "n_children", F.lit(len(tables) + 1).alias("depth")))
             if not n_fin:
                 break
             tables.append(fin_path)
@@ -76,7 +77,7 @@ class Hierarchy:
         up.unpersist()
         self.endless = table.select(F.col("parent").alias("part"))  # parts that can reach a cycle
         self.n_endless = n
-        schema = "part string, size double, n_children long"
+        schema = "part string, size double, n_children long, depth int"
         self.sizes = self.spark.read.schema(schema).parquet(*tables) if tables else self.spark.createDataFrame([], schema)
 
     def _down_links(self) -> DataFrame:
@@ -97,17 +98,19 @@ class Hierarchy:
         """(part): parents that are nobody's child."""
         return self.edges.select(F.col("parent").alias("part")).distinct().join(self.edges.select(F.col("child").alias("part")).distinct(), "part", "left_anti")
 
-    def places(self, with_paths: bool = False) -> DataFrame:
+    def places(self, with_paths: bool = False, seeds: DataFrame | None = None) -> DataFrame:
         """(root, part, level, pre, last[, path]): one row per root and part reachable from it, roots included.
 
+        seeds: the parts (part) to start from instead of the roots; all parents give the whole closure.
         level = fewest links from the root. pre and last: the nested-set range of the part's place below the root,
         null where the root can reach a cycle. path: the keys from the root to that place, of several the
         smallest at the shallowest level.
         """
         down = self._down_links().repartition(self._partitions(), "parent").sortWithinPartitions("parent").persist(StorageLevel.MEMORY_AND_DISK)
-        roots = self.roots().join(self.sizes, "part", "left").select(
-            F.col("part").alias("root"), "part", F.lit(0).cast("long").alias("level"), F.when(F.col("size").isNotNull(), 1.0).alias("pre"), "size",
-            F.lit(False).alias("leaf"), F.col("size").isNull().alias("endless"), *([F.array("part").alias("path")] if with_paths else []),
+        start = self.roots() if seeds is None else seeds.select("part").where("part is not null").distinct()
+        roots = start.join(self.sizes, "part", "left").join(self.endless.withColumn("loops", F.lit(True)), "part", "left").select(
+            F.col("part").alias("root"), "part", F.lit(0).cast("long").alias("level"), F.when(F.col("loops").isNull(), 1.0).alias("pre"), F.when(F.col("loops").isNull(), F.coalesce("size", F.lit(1.0))).alias("size"),
+            (F.col("size").isNull() & F.col("loops").isNull()).alias("leaf"), F.col("loops").isNotNull().alias("endless"), *([F.array("part").alias("path")] if with_paths else []),
         )
         path_of = ["path"] if with_paths else []
         front, n, path = self.cuts.write(roots)

@@ -60,7 +60,7 @@ add("stg_demand", lambda t: t.fact_demand, "select * from fact_demand")
 add("stg_order_lines", lambda t: t.fact_order, "select * from fact_order")
 add("stg_lead_times", lambda t: t.fact_lead, "select * from fact_lead")
 add("stg_quotes", lambda t: t.quote, "select * from quote")
-add("core_dim_date", lambda t: staging.calendar(t.spark), "select cast(d as date) date_key, cast(extract(year from d) as int) year, cast(extract(month from d) as int) as month, cast(extract(day from d) as int) as day, cast(extract(quarter from d) as int) quarter from generate_series(timestamp '2015-01-01', timestamp '2028-12-31', interval 1 day) x(d)")
+add("core_dim_date", lambda t: staging.calendar(t.spark), "select cast(d as date) date_key, cast(extract(year from d) as int) as \"year\", cast(extract(month from d) as int) as \"month\", cast(extract(day from d) as int) as \"day\", cast(extract(quarter from d) as int) as \"quarter\" from generate_series(timestamp '2015-01-01', timestamp '2028-12-31', interval 1 day) x(d)")
 add("test_unique", lambda t: staging.not_unique(t.fact_demand, "part_key"), "select part_key as value, count(*) n from fact_demand where part_key is not null group by 1 having count(*) > 1")
 add("test_not_null", lambda t: staging.null_values(t.dim_part, "description").select("part_key"), "select part_key from dim_part where description is null")
 add("test_accepted_values", lambda t: staging.not_accepted(t.dim_part, "lifecycle_status", STATUSES), "select lifecycle_status as value, count(*) n from dim_part where lifecycle_status not in ('ACTIVE', 'OBSOLETE', 'BLOCKED', 'IN_DEVELOPMENT') group by 1")
