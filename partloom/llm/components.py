@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partloom.functions.keys import key
+from partloom.operators.stars import stars
 from partloom.session import Cuts
 
 #: links that one task may hold
@@ -58,29 +59,6 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"a": tops, "b": members}, dtype=object)
 
 
-def _stars(links: DataFrame, cuts: Cuts) -> DataFrame:
-    """(a, b): every part b linked to the smallest key a of its group, by rounds over all partitions."""
-    table, n, path = cuts.write(links)
-    before = None
-    while True:
-        both = table.union(table.select("b", "a")).toDF("x", "y")
-        # large star: larger neighbours to the smallest neighbour
-        low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.join(low, "x").where("y > x").select(F.col("m").alias("a"), F.col("y").alias("b")).where("a <> b").distinct()
-        table, _, p1 = cuts.write(large)
-        # small star: smaller neighbours and the part itself to the smallest of them
-        down = table.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
-        low = down.groupBy("x").agg(F.min("y").alias("m"))
-        small = down.join(low, "x").select(F.col("m").alias("a"), F.col("y").alias("b")).union(low.select("m", "x")).where("a <> b").distinct()
-        nxt, n, p2 = cuts.write(small)
-        state = tuple(nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        cuts.drop(path)
-        cuts.drop(p1)
-        if state == before:
-            return nxt
-        table, path, before = nxt, p2, state
-
-
 def components(pairs: DataFrame, task_links: int = TASK_LINKS, fan_in: int = FAN_IN) -> DataFrame:
     """(group_id, part_id): one row per part of any pair (a, b); group_id is the smallest key of its group.
 
@@ -98,7 +76,7 @@ def components(pairs: DataFrame, task_links: int = TASK_LINKS, fan_in: int = FAN
             break
         fewer = max(-(-parts // fan_in), -(-n_forest // task_links))
         if fewer >= parts:
-            table = _stars(forest, cuts)
+            table = stars(forest, cuts)
             break
         parts = fewer
     return table.select(F.col("a").alias("group_id"), F.col("b").alias("part_id")).unionByName(table.select(F.col("a").alias("group_id"), F.col("a").alias("part_id")).distinct())
