@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from partloom.functions.keys import key
@@ -58,27 +58,40 @@ class Hierarchy:
 
     def _upward(self) -> None:
         need = self.marked.groupBy("parent").agg(F.sum((~F.col("leaf")).cast("long")).alias("need"), F.sum(F.col("leaf").cast("double")).alias("leaves"), F.count(F.lit(1)).alias("n_children"))
-        state = need.select("parent", "n_children", "need", F.lit(0).cast("long").alias("have"), (F.col("leaves") + 1).alias("size"))
+        state = need.select("parent", "n_children", "need", F.lit(0).cast("long").alias("have"), (F.col("leaves") + 1).alias("size"), F.lit(1).alias("depth"))
         up = self.marked.where("not leaf").select("child", "parent").repartition(self._partitions(), "child").sortWithinPartitions("child").persist(StorageLevel.MEMORY_AND_DISK)
-        done: list[str] = []
-        tables, before = [], None
-        table, n, path = self.cuts.write(state)
-        while n:
-            fresh = table.where("have = need")
-            fin, n_fin, fin_path = self.cuts.write(fresh.select(F.col("parent").alias("part"), "size", "n_children", F.lit(len(tables) + 1).alias("depth")))
+        schema = state.schema
+        finished: list[str] = []
+        while True:
+            # one job per round: those that are finished and those that wait are written apart and counted on the way
+            n_fin, n, path = self._apart(state)
+            if finished:
+                self.cuts.drop(f"{waiting}/done=false")
             if not n_fin:
+                self.endless = self.spark.read.schema(schema).parquet(f"{path}/done=false").select(F.col("parent").alias("part")) if n else self.spark.createDataFrame([], "part string")
+                break
+            finished.append(f"{path}/done=true")
+            waiting = path
+            fin = self.spark.read.schema(schema).parquet(finished[-1])
+            if n == n_fin:
+                n = 0
+                self.endless = self.spark.createDataFrame([], "part string")
                 break
-            tables.append(fin_path)
-            add = up.join(fin.select(F.col("part").alias("child"), F.col("size").alias("more")), "child").groupBy("parent").agg(F.count(F.lit(1)).alias("n_more"), F.sum("more").alias("more"))
-            rest = table.where("have < need").join(add, "parent", "left").select("parent", "n_children", "need", (F.col("have") + F.coalesce("n_more", F.lit(0))).alias("have"), (F.col("size") + F.coalesce("more", F.lit(0.0))).alias("size"))
-            before = path
-            table, n, path = self.cuts.write(rest)
-            self.cuts.drop(before)
+            wait = self.spark.read.schema(schema).parquet(f"{path}/done=false")
+            add = up.join(fin.select(F.col("parent").alias("child"), F.col("size").alias("more")), "child").groupBy("parent").agg(F.count(F.lit(1)).alias("n_more"), F.sum("more").alias("more"))
+            state = wait.join(add, "parent", "left").select("parent", "n_children", "need", (F.col("have") + F.coalesce("n_more", F.lit(0))).alias("have"), (F.col("size") + F.coalesce("more", F.lit(0.0))).alias("size"), (F.col("depth") + 1).alias("depth"))
         up.unpersist()
-        self.endless = table.select(F.col("parent").alias("part"))  # parts that can reach a cycle
         self.n_endless = n
-        schema = "part string, size double, n_children long, depth int"
-        self.sizes = self.spark.read.schema(schema).parquet(*tables) if tables else self.spark.createDataFrame([], schema)
+        done = self.spark.read.schema(schema).parquet(*finished) if finished else self.spark.createDataFrame([], schema)
+        self.sizes = done.select(F.col("parent").alias("part"), "size", "n_children", "depth")
+
+    def _apart(self, state: DataFrame) -> tuple[int, int, str]:
+        seen = Observation()
+        ready = F.col("have") == F.col("need")
+        self.cuts.n += 1
+        path = f"{self.cuts.root}/{self.cuts.n:04d}"
+        state.withColumn("done", ready).observe(seen, F.count(F.when(ready, 1)).alias("fin"), F.count(F.lit(1)).alias("n")).write.partitionBy("done").parquet(path)
+        return int(seen.get["fin"]), int(seen.get["n"]), path
 
     def _down_links(self) -> DataFrame:
         """(parent, child, leaf, endless, size, offset): links with the child's size and its offset among its siblings.

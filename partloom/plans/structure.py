@@ -82,7 +82,7 @@ _LOOPS = _REACH | {
 _DEPTH = "select part, cast(max(n) as bigint) depth, false endless from chain group by 1 union all select part, (select count(*) from reached r where r.part = e.part), true from endless e"
 add("graph_depth", _depths, _DEPTH, _LOOPS, True)
 add("graph_expand", lambda t: (lambda e: graph.expansion(Hierarchy(e.select("parent", "child")), e, _first(t, 1)[0]))(_edges(t)), f"select parent, child, cast(lvl + 1 as bigint) as level, quantity_per from (select part, min(lvl) lvl from tree group by 1) join edges on parent = part", {"edges": _EDGES, "tree(part, lvl)": f"select * from (select x.parent, 0 from {_FIRST} x) union select e.child, lvl + 1 from tree join edges e on e.parent = part where lvl < 60"}, True)
-add("graph_weak_groups", lambda t: weak_groups(_edges(t).select("parent", "child")), "select min(other) group_key, part from meet group by 2", {"edges": _EDGES, "both": "select parent a, child b from edges union select child, parent from edges", "meet(part, other)": "select a, a from both union select m.part, x.b from meet m join both x on x.a = m.other"}, True)
+add("graph_weak_groups", lambda t: weak_groups(_edges(t).select("parent", "child")), "select min(other) group_key, part from meet group by 2", {"edges": _EDGES, "ends_": "select parent a, child b from edges union select child, parent from edges", "meet(part, other)": "select a, a from ends_ union select m.part, x.b from meet m join ends_ x on x.a = m.other"}, True)
 add("graph_cycles", lambda t: graph.simple_cycles(Hierarchy(_edges(t).select("parent", "child"))).select(F.array_join("cycle", ">").alias("cycle"), "n_links"), "select array_to_string(path, '>') as cycle, cast(len(path) as int) n_links from run join edges e on e.parent = path[-1] and e.child = path[1]", {"edges": _EDGES, "run(path)": "select [parent, child] from edges where child > parent union all select list_append(path, e.child) from run join edges e on e.parent = path[-1] where e.child > path[1] and not list_contains(path, e.child) and len(path) < 12"}, True)
 
 
@@ -123,7 +123,7 @@ def _validation(t: Tables) -> DataFrame:
 
 add("graph_validation", _validation, """select (select count(*) from deg) nodes, (select count(*) from edges) edges, (select count(*) from edges where parent = child) self_references, (select count(*) from walk where part = below) parts_on_cycles,
     (select count(*) from deg where n_out > 0 and part not in (select part_key from dim_part)) missing_parents, (select count(*) from deg where n_out = 0 and part not in (select part_key from dim_part)) missing_children,
-    (select count(distinct g) from (select min(other) g from meet group by part)) components""", _REACH | {"both": "select parent a, child b from edges union select child, parent from edges", "meet(part, other)": "select a, a from both union select m.part, x.b from meet m join both x on x.a = m.other"}, True)
+    (select count(distinct g) from (select min(other) g from meet group by part)) components""", _REACH | {"ends_": "select parent a, child b from edges union select child, parent from edges", "meet(part, other)": "select a, a from ends_ union select m.part, x.b from meet m join ends_ x on x.a = m.other"}, True)
 
 
 def _production(t: Tables) -> DataFrame:
