@@ -171,19 +171,21 @@ def train(data: DataFrame, model: str = "logistic", seed: int = 7):
 
     Rows of the rarer label weigh more in the logistic model. The threshold is chosen on the validation part, metrics are of the test part.
     """
-    from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    d, n, _ = Cuts(data.sparkSession, "train").write(data.select("a", "b", "part", F.col("label").cast("double").alias("label"), *WEIGHTS))
+    spark = data.sparkSession
+    written, _, path = Cuts(spark, "train").write(data.select("a", "b", "part", F.col("label").cast("double").alias("label"), *WEIGHTS))
+    # a fitted model's functions hold their session, and one that has observed counts can't be sent to tasks
+    d = spark.newSession().read.schema(written.schema).parquet(path)
     c = d.where("part = 'train'").agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n")).first()
     pos, all_ = float(c["pos"] or 0), float(c["n"])
     if not 0 < pos < all_:
         raise ValueError("the training part needs pairs of both labels")
     weighed = d.withColumn("weight", F.when(F.col("label") == 1, all_ / (2 * pos)).otherwise(all_ / (2 * (all_ - pos))))
     learner = LogisticRegression(weightCol="weight", maxIter=200) if model == "logistic" else GBTClassifier(maxIter=20, maxDepth=3, seed=seed)
-    fitted = Pipeline(stages=[VectorAssembler(inputCols=list(WEIGHTS), outputCol="features"), learner]).fit(weighed.where("part = 'train'"))
+    weighed = weighed.withColumn("features", array_to_vector(F.array(*WEIGHTS)))
+    fitted = learner.fit(weighed.where("part = 'train'"))
     out = fitted.transform(weighed).select("a", "b", "part", "label", vector_to_array("probability")[1].alias("score"))
     cut = threshold(out.where("part = 'validation'").select("score", F.col("label").cast("long").alias("label")))
     t = out.where("part = 'test'").withColumn("hit", F.round("score", 4) >= cut)
@@ -192,7 +194,7 @@ def train(data: DataFrame, model: str = "logistic", seed: int = 7):
     rate = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 4)
     f = {k: F.col(k) for k in ("tp", "fp", "fn", "tn")}
     metrics = m.select(F.lit(model).alias("model"), F.lit(cut).alias("threshold"), "tp", "fp", "fn", "tn", rate(f["tp"], f["tp"] + f["fp"]).alias("precision"), rate(f["tp"], f["tp"] + f["fn"]).alias("recall"), rate(2 * f["tp"], 2 * f["tp"] + f["fp"] + f["fn"]).alias("f1"), rate(f["fp"], f["fp"] + f["tn"]).alias("false_positive_rate"))
-    return fitted, cut, metrics
+    return fitted, cut, spark.createDataFrame(metrics.collect(), metrics.schema)
 
 
 def dispersion(metrics: DataFrame, by: str = "model") -> DataFrame:
