@@ -102,13 +102,17 @@ class Tables:
 
     @cached_property
     def call_audit(self) -> DataFrame:
-        k = F.get_json_object("props", "$.k").cast("int")
-        e = self.raw("events").withColumn("k", F.coalesce(k, F.lit(0)))
-        return e.select(F.col("event_id").cast("string").alias("call_id"), F.col("event_type").alias("provider"), F.when(F.col("k") % 2 == 0, "small").otherwise("large").alias("model"), F.concat(F.lit("v"), (F.col("user_id") % 3).cast("string")).alias("prompt_version"), F.col("value").cast("decimal(18,4)").alias("latency_ms"), (F.col("k") % 100).alias("confidence"), (F.col("k") % 7 == 0).alias("abstained"), F.when(F.col("k") % 11 == 0, "rejected").otherwise("valid").alias("validation_result"), F.col("ts").alias("called_at"))
+        return calls_of(self.raw("events"))
 
     @cached_property
     def uom(self) -> DataFrame:
         return self.spark.createDataFrame([(u,) for u in UOMS], "uom_code string")
 
 
+def calls_of(events: DataFrame) -> DataFrame:
+    """Events as an audit of model calls, in batch or stream."""
+    e = events.withColumn("k", F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(0)))
+    return e.select(F.col("event_id").cast("string").alias("call_id"), F.col("event_type").alias("provider"), F.when(F.col("k") % 2 == 0, "small").otherwise("large").alias("model"), F.concat(F.lit("v"), (F.col("user_id") % 3).cast("string")).alias("prompt_version"), F.col("value").cast("decimal(18,4)").alias("latency_ms"), (F.col("k") % 100).alias("confidence"), (F.col("k") % 7 == 0).alias("abstained"), F.when(F.col("k") % 11 == 0, "rejected").otherwise("valid").alias("validation_result"), F.col("ts").alias("called_at"))
+
+
 Build = Callable[[Tables], DataFrame]
