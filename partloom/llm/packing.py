@@ -63,11 +63,11 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
     for i, s in enumerate(sizes.tolist()):
         if s == 0:
             continue
-        # change of the sum of squares, halved and less one: N(g - s) - N(g); for a gap of exactly s the target gap 0 counts as none
+        # the sum of squares grows by 2 (N(g - s) - N(g)) + 2, for a gap of exactly s by one less, for a new container by 2 N(capacity - s) + 1
         change = count[: capacity + 1 - s] + weight[s:]
         g = int(change.argmin()) + s
         fresh = count[capacity - s] if capacity > s else 0
-        if count[g] and change[g - s] <= fresh:
+        if count[g] and (g == s or change[g - s] < fresh):
             at = open_[g].pop()
             count[g] -= 1
             weight[g] = -count[g] if count[g] else np.iinfo(np.int64).max // 4
