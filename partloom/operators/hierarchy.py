@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 
 from partloom.functions.keys import key
 from partloom.operators.skew import join_unique
-from partloom.session import Cuts
+from partloom.session import Cuts, static_plans
 
 #: Up to so many links that can reach a cycle are searched in one task (about 50 MB there); more are searched by rounds.
 ONE_TASK_LINKS = 400_000
+#: rows of a step that one task handles
+ROWS_PER_TASK = 50_000
 #: sibling blocks for the prefix sums, so that a parent with very many children isn't summed in one task
 BLOCKS = 32
 
@@ -62,9 +64,11 @@ class Hierarchy:
         up = self.marked.where("not leaf").select("child", "parent").repartition(self._partitions(), "child").sortWithinPartitions("child").persist(StorageLevel.MEMORY_AND_DISK)
         schema = state.schema
         finished: list[str] = []
+        n = self.n_edges
         while True:
             # one job per round: those that are finished and those that wait are written apart and counted on the way
-            n_fin, n, path = self._apart(state)
+            with static_plans(self.spark):
+                n_fin, n, path = self._apart(state, self._tasks(n))
             if finished:
                 self.cuts.drop(f"{waiting}/done=false")
             if not n_fin:
@@ -85,12 +89,16 @@ class Hierarchy:
         done = self.spark.read.schema(schema).parquet(*finished) if finished else self.spark.createDataFrame([], schema)
         self.sizes = done.select(F.col("parent").alias("part"), "size", "n_children", "depth")
 
-    def _apart(self, state: DataFrame) -> tuple[int, int, str]:
+    def _tasks(self, n: int) -> int:
+        """Tasks for a step that is expected to give about as many rows as the one before."""
+        return max(1, min(self._partitions(), -(-n // ROWS_PER_TASK)))
+
+    def _apart(self, state: DataFrame, tasks: int) -> tuple[int, int, str]:
         seen = Observation()
         ready = F.col("have") == F.col("need")
         self.cuts.n += 1
         path = f"{self.cuts.root}/{self.cuts.n:04d}"
-        state.withColumn("done", ready).observe(seen, F.count(F.when(ready, 1)).alias("fin"), F.count(F.lit(1)).alias("n")).write.partitionBy("done").parquet(path)
+        state.withColumn("done", ready).coalesce(tasks).observe(seen, F.count(F.when(ready, 1)).alias("fin"), F.count(F.lit(1)).alias("n")).write.partitionBy("done").parquet(path)
         return int(seen.get["fin"]), int(seen.get["n"]), path
 
     def _down_links(self) -> DataFrame:
@@ -140,7 +148,8 @@ class Hierarchy:
             if self.n_endless:  # only these could come again for ever
                 seen = self.spark.read.schema(front.schema).parquet(*paths).where("endless").select("root", "part")
                 once = once.where("not endless").unionByName(once.where("endless").join(seen, ["root", "part"], "left_anti"))
-            front, n, path = self.cuts.write(once)
+            with static_plans(self.spark):
+                front, n, path = self.cuts.write(once, self._tasks(2 * n))
             paths.append(path)
         down.unpersist()
         every = self.spark.read.schema(front.schema).parquet(*paths)
@@ -186,13 +195,14 @@ class Hierarchy:
 
     def _spread(self, nodes: DataFrame, edges: DataFrame, src: str, dst: str) -> DataFrame:
         """(part, label): the smallest key from which the part is reached along src -> dst, its own included."""
-        labels, _, path = self.cuts.write(nodes.select("part", F.col("part").alias("label"), F.lit(True).alias("new")))
+        labels, n, path = self.cuts.write(nodes.select("part", F.col("part").alias("label"), F.lit(True).alias("new")))
         changed = 1
         while changed:
             sent = labels.where("new").join(edges.select(F.col(src).alias("part"), F.col(dst).alias("to")), "part").groupBy(F.col("to").alias("part")).agg(F.min("label").alias("got"))
             moved = labels.join(sent, "part", "left").select("part", F.least("label", F.coalesce("got", "label")).alias("label"), F.coalesce(F.col("got") < F.col("label"), F.lit(False)).alias("new"))
             old = path
-            labels, _, path = self.cuts.write(moved)
+            with static_plans(self.spark):
+                labels, n, path = self.cuts.write(moved, self._tasks(n))
             changed = labels.where("new").limit(1).count()
             self.cuts.drop(old)
         return labels.select("part", "label")

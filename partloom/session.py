@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,21 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own_folder[app]
 
 
+@contextmanager
+def static_plans(spark: SparkSession) -> Iterator[None]:
+    """Plans fixed before they run, for loops of many small steps whose partitions are chosen from the counts seen before.
+
+    Adaptive planning submits and re-plans every shuffle of a step on its own; over hundreds of steps that is most of
+    the time and of the driver's memory.
+    """
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 class Cuts:
     """Tables written to the shared folder to cut lineage; old ones are dropped when no longer read."""
 
