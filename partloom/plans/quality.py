@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from partloom.operators import lookups, marts, rules, scoring, staging
 from partloom.plans.core_sql import ISSUE_RULES, issues_sql, rule_sql, with_tables
+from partloom.session import Cuts
 from partloom.sources.binding import STATUSES, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,12 +24,18 @@ def add(name: str, build: Callable[[Tables], DataFrame], sql: str | None = None,
 
 
 def issues_of(t: Tables, chosen: list[str] | None = None) -> DataFrame:
-    """The issues the scores and marts are computed on; some closed or rejected, by the last character of their key."""
-    found, failed = rules.run(t, [r for r in rules.RULES if r.rule_id in (chosen or ISSUE_RULES)])
+    """The issues the scores and marts are computed on, found once; some closed or rejected, by the last character of their key."""
+    if "issues" in t.__dict__ and chosen is None:
+        return t.__dict__["issues"]
+    found, failed = rules.run(t.stored("dim_part", "fact_bom"), [r for r in rules.RULES if r.rule_id in (chosen or ISSUE_RULES)])
     if failed:
         raise RuntimeError(f"rules failed: {failed}")
     code = F.ascii(F.right("entity_key", F.lit(1))) % 5
-    return rules.issues(found, "run-1").withColumn("status", F.when(code == 0, "CLOSED").when(code == 1, "REJECTED").otherwise("DETECTED"))
+    out = rules.issues(found, "run-1").withColumn("status", F.when(code == 0, "CLOSED").when(code == 1, "REJECTED").otherwise("DETECTED"))
+    out = Cuts(t.spark, "issues").write(out)[0]
+    if chosen is None:
+        t.__dict__["issues"] = out
+    return out
 
 
 def decisions_of(t: Tables) -> DataFrame:
@@ -94,7 +101,7 @@ for _r in rules.RULES:
 
 
 def _run_counts(t: Tables) -> DataFrame:
-    found, failed = rules.run(t)
+    found, failed = rules.run(t.stored("dim_part", "fact_bom", "supplier_part", "fact_cost"))
     return rules.executions(found, failed, "run-1")
 
 

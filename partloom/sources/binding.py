@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partloom.operators import staging
+from partloom.session import Cuts
 from partloom.sources.tables import table
 
 #: fixed values: governed units of measure, currencies and statuses
@@ -38,6 +39,13 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.folder, name)
 
+    def stored(self, *names: str) -> Tables:
+        """These tables with the named ones written once to the shared folder, for work that reads them many times."""
+        cuts = Cuts(self.spark, "core")
+        for name in names:
+            self.__dict__[name] = cuts.write(getattr(self, name))[0]
+        return self
+
     @cached_property
     def dim_part(self) -> DataFrame:
         return staging.parts(self.raw("part_master"))

@@ -203,3 +203,13 @@ def broken_references(tables: dict[str, DataFrame]) -> DataFrame:
         bad = without_parent(tables[t], c, tables[pt], pc).select(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), "value", "n")
         out = bad if out is None else out.unionByName(bad)
     return out
+
+
+def write_csv(tables: dict[str, DataFrame], folder: str) -> DataFrame:
+    """Each dataset as CSV with a header below the folder; gives the manifest (dataset, n_files, n_bytes, hash of all file hashes)."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").csv(f"{folder}/{name}", header=True)
+    spark = next(iter(tables.values())).sparkSession
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(folder)
+    each = files.select(F.element_at(F.split("path", "/"), -2).alias("dataset"), F.sha2("content", 256).alias("h"), "length")
+    return each.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes"), F.sha2(F.concat_ws("", F.sort_array(F.collect_list("h"))), 256).alias("content_hash"))
