@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from partloom.functions.keys import key
-from partloom.operators.skew import join_unique
+from partloom.operators.skew import HOT_PARTS, join_unique
 from partloom.session import Cuts, static_plans
 
 #: Up to so many links that can reach a cycle are searched in one task (about 50 MB there); more are searched by rounds.
 ONE_TASK_LINKS = 400_000
 #: rows of a step that one task handles
 ROWS_PER_TASK = 50_000
+#: rows of a step from which its parts are counted, and the links of its hot parts that a broadcast may hold (some 30 MB)
+HOT_STEP, HOT_LINKS = 1_000_000, 200_000
 #: sibling blocks for the prefix sums, so that a parent with very many children isn't summed in one task
 BLOCKS = 32
 
@@ -139,7 +141,7 @@ class Hierarchy:
         while n:
             level += 1
             step = front.where("not leaf").select("root", F.col("part").alias("parent"), F.col("pre").alias("from_pre"), *[F.col("path").alias("from_path")] * with_paths)
-            found = step.join(down.hint("merge"), "parent").select(
+            found = self._children(step, down, n).select(
                 "root", F.col("child").alias("part"), (F.col("from_pre") + 1 + F.col("offset")).alias("pre"), "size", "leaf", "endless",
                 *[F.concat("from_path", F.array("child")).alias("path")] * with_paths,
             )
@@ -157,6 +159,21 @@ class Hierarchy:
         last = F.when(F.col("m.pre").isNotNull(), F.col("m.pre") + F.col("m.size") - 1)
         return first.select("root", "part", F.col("m.level").alias("level"), F.col("m.pre").alias("pre"), last.alias("last"), *[F.col("m.path").alias("path")] * with_paths)
 
+    def _children(self, step: DataFrame, down: DataFrame, n: int) -> DataFrame:
+        """step (parent, ...) with the links of down below it, merged by parent.
+
+        In a large step a part may stand below a third of all roots: such parts, at most HOT_PARTS, are counted first, and
+        their rows stay where they are and meet a broadcast of their links, if these are no more than HOT_LINKS.
+        """
+        if n > HOT_STEP:
+            counts = step.groupBy("parent").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") * HOT_PARTS > n)
+            hot = [r[0] for r in counts.limit(HOT_PARTS).collect()]
+            kids = down.where(F.col("parent").isin(hot))
+            if hot and kids.count() <= HOT_LINKS:
+                is_hot = F.col("parent").isin(hot)
+                return step.where(~is_hot).join(down.hint("merge"), "parent").unionByName(step.where(is_hot).join(F.broadcast(kids), "parent"))
+        return step.join(down.hint("merge"), "parent")
+
     def cycles(self, one_task_links: int = ONE_TASK_LINKS) -> DataFrame:
         """(group_key, part): every part that can be reached from itself, with the smallest key of those it reaches and that reach it."""
         e = self.edges.join(self.endless.withColumnRenamed("part", "parent"), "parent", "left_semi")

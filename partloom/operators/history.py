@@ -41,8 +41,8 @@ def versions(obs: DataFrame, max_days: int = 65536) -> DataFrame:
     """(field_name, part_id, plant_code, valid_from, valid_to, value, n_rows): one row per version.
 
     obs as given by observations(). A version holds from its first day to the day before the next one;
-    valid_to is null for the last. max_days bounds the days of a series (179 years) and so the rounds;
-    rounds in which no series is that long cost nothing but a look at single rows. Empty input gives no rows.
+    valid_to is null for the last. max_days bounds the days of a series (179 years) and so the rounds; in the later
+    ones a short series is a single row that passes unchanged. Empty input gives no rows.
     """
     series = ["field_name", "part_id", "plant_code"]
     longest = obs.groupBy(*series).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1

@@ -102,3 +102,14 @@ def test_cycles(spark):
     assert rows(found) == sorted([(["A", "B"], 2), (["A", "B", "C"], 3)], key=repr)
     h = Hierarchy(edges(spark, [("A", "B"), ("B", "C"), ("C", "B")]))
     assert dict((a, b) for a, b, _ in rows(graph.depths(h, graph.reach(h))))["A"] == 2
+
+
+def test_hot_parts_of_a_step(spark, monkeypatch):
+    """A part below a third of all roots takes the other way, with the same result."""
+    from partloom.operators import hierarchy
+
+    pairs = [(f"A{i}", "HOT") for i in range(40)] + [(f"B{i}", f"C{i}") for i in range(80)] + [("HOT", "X"), ("X", "Y"), ("C1", "X"), ("C2", "C3"), ("Y", "X")]
+    want = rows(Hierarchy(edges(spark, pairs)).places(), "root", "part", "level")
+    monkeypatch.setattr(hierarchy, "HOT_STEP", 10)
+    assert rows(Hierarchy(edges(spark, pairs)).places(), "root", "part", "level") == want
+    assert {(r, p): n for r, p, n in want if n} == brute(pairs)[0]
