@@ -1,3 +1,5 @@
+from uuid import uuid4
+
 import pytest
 
 from partloom.functions.keys import key, source_key
@@ -40,7 +42,7 @@ def test_streams(spark, tmp_path):
     for n in ("a", "b"):
         (tmp_path / "in" / f"{n}.csv").write_text("id,v\n1,x\n2,y\n")
     s = streams.once_per_content(streams.file_stream(spark, str(tmp_path / "in"), "id string, v string"))
-    streams.run_once(s, f"files-{tmp_path.name}", "append", str(tmp_path / "out"))
+    streams.run_once(s, f"files-{uuid4().hex}", "append", str(tmp_path / "out"))
     assert rows(spark.read.parquet(str(tmp_path / "out")), "id", "v") == [("1", "x"), ("2", "y")]
     d = spark.createDataFrame([("i", "d1", 1, "APPROVED"), ("i", "d2", 2, "CLOSED")], "issue_id string, decision_id string, decided_at int, after_status string")
     assert rows(streams.latest_status(d)) == [("i", "CLOSED")]
