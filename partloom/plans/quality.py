@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partloom.operators import lookups, marts, rules, scoring, staging
-from partloom.plans.core_sql import ISSUE_RULES, issues_sql, rule_sql, with_tables
+from partloom.plans.core_sql import issues_sql, rule_sql, with_tables
 from partloom.session import Cuts
 from partloom.sources.binding import STATUSES, Tables
 
@@ -24,10 +24,11 @@ def add(name: str, build: Callable[[Tables], DataFrame], sql: str | None = None,
 
 
 def issues_of(t: Tables, chosen: list[str] | None = None) -> DataFrame:
-    """The issues the scores and marts are computed on, found once; some closed or rejected, by the last character of their key."""
+    """The issues of all enabled rules (or of the chosen ones), found once, that scores and marts are computed on; some closed or rejected, by the last character of their key."""
     if "issues" in t.__dict__ and chosen is None:
         return t.__dict__["issues"]
-    found, failed = rules.run(t.stored("dim_part", "fact_bom"), [r for r in rules.RULES if r.rule_id in (chosen or ISSUE_RULES)])
+    todo = [r for r in rules.RULES if chosen is None or r.rule_id in chosen]
+    found, failed = rules.run(t.stored("dim_part", "fact_bom", "supplier_part", "fact_cost") if chosen is None else t.stored("dim_part", "fact_bom"), todo)
     if failed:
         raise RuntimeError(f"rules failed: {failed}")
     code = F.ascii(F.right("entity_key", F.lit(1))) % 5

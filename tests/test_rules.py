@@ -4,6 +4,7 @@ import pytest
 
 from partloom.operators import detection, rules, staging
 from partloom.operators.detection import GeneratedTables
+from partloom.plans import quality
 from partloom.sources.generate import Generator, Profile, broken_references
 from partloom.sources.inject import inject
 from partloom.session import Cuts
@@ -76,3 +77,15 @@ def test_snapshot_changes(spark):
     got = rows(staging.snapshot_changes(old, new, "k", ["v"], "2024-02-01"), "k", "v", "valid_to")
     assert got == sorted([("a", "x", date(2024, 2, 1)), ("a", "z", None), ("b", None, None), ("c", "y", date(2024, 2, 1)), ("d", "n", None)], key=repr)
     assert staging.calendar(spark).count() == 5114
+
+
+def test_issues_are_those_of_all_rules(spark, made):
+    class Stored(GeneratedTables):
+        def stored(self, *names):
+            return self
+
+    t = Stored(made[0])
+    t.spark = spark
+    got, want = quality.issues_of(t), made[1]
+    count = lambda df: {r[0]: r[1] for r in df.groupBy("rule_id").count().collect()}
+    assert count(got) == count(want) and set(count(got)) - {"COMP-001", "COMP-002", "COMP-003", "COMP-004", "COMP-006"}
