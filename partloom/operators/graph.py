@@ -115,11 +115,11 @@ def simple_paths(edges: DataFrame, start: str, end: str, most: int = 25, most_li
     return found.orderBy("n_links", "path").limit(most)
 
 
-def simple_cycles(h: Hierarchy, most_links: int = 12) -> DataFrame:
+def simple_cycles(h: Hierarchy) -> DataFrame:
     """(cycle, n_links): the cycles of two or more parts that meet no part twice, starting at their smallest key.
 
-    Searched within the groups of parts that reach each other; cycles of more than most_links links are left out,
-    as their number can grow exponentially.
+    Searched within the groups of parts that reach each other until no path is open, so a path has at most the parts of its
+    group. The number of cycles, and with it the work, can grow exponentially with the links of a group.
     """
     cuts = Cuts(h.spark, "cycles")
     groups, _, _ = cuts.write(h.cycles())
@@ -127,12 +127,14 @@ def simple_cycles(h: Hierarchy, most_links: int = 12) -> DataFrame:
     core, _, _ = cuts.write(h.edges.where("parent <> child").join(side("parent"), "parent").join(side("child"), "child").where("g_parent = g_child").select("parent", "child"))
     front, n, _ = cuts.write(core.where("child > parent").select(F.array("parent", "child").alias("path")))
     found = front.limit(0).select(F.col("path").alias("cycle"), F.lit(0).alias("n_links"))
-    for links in range(2, most_links + 1):
-        if not n:
-            break
+    links = 1
+    while n:
+        links += 1
         step = front.select("path", F.element_at("path", -1).alias("parent")).join(core, "parent")
         back = step.where(F.col("child") == F.element_at("path", 1)).select(F.col("path").alias("cycle"), F.lit(links).alias("n_links"))
-        found = found.unionByName(cuts.write(back)[0])
+        closed, n_closed, _ = cuts.write(back)
+        if n_closed:
+            found = found.unionByName(closed)
         on = step.where((F.col("child") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("child"))).select(F.concat("path", F.array("child")).alias("path"))
         front, n, _ = cuts.write(on)
     return found

@@ -113,3 +113,9 @@ def test_hot_parts_of_a_step(spark, monkeypatch):
     monkeypatch.setattr(hierarchy, "HOT_STEP", 10)
     assert rows(Hierarchy(edges(spark, pairs)).places(), "root", "part", "level") == want
     assert {(r, p): n for r, p, n in want if n} == brute(pairs)[0]
+
+
+def test_long_cycles(spark):
+    ring = [(f"p{i:02d}", f"p{(i + 1) % 15:02d}") for i in range(15)]
+    found = graph.simple_cycles(Hierarchy(spark.createDataFrame([*ring, ("p03", "p00")], "parent string, child string")))
+    assert sorted((r["n_links"], r["cycle"]) for r in found.collect()) == [(4, [f"p{i:02d}" for i in range(4)]), (15, [f"p{i:02d}" for i in range(15)])]
