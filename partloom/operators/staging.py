@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from partloom.functions.keys import key, stripped
@@ -109,6 +109,23 @@ def snapshot_changes(current: DataFrame, new: DataFrame, on: str, checked: list[
     return both.select(F.inline(F.array_compact(F.array(closed, opened))))
 
 
+def snapshot_versions(snapshots: DataFrame, on: str, checked: list[str], day: str) -> DataFrame:
+    """(on, checked, valid_from, valid_to): the versions that snapshot_changes gives when folded over all days of snapshots, in one pass.
+
+    snapshots: one row per key and day. A version is closed on the first of all days on which its key is missing or changed;
+    those of the last day stay open. Rows without key or day say nothing.
+    """
+    told = snapshots.where(F.col(on).isNotNull() & F.col(day).isNotNull())
+    # a row per day of the calendar at most
+    days = told.select(day).distinct().withColumn("_next", F.lead(day).over(Window.orderBy(day)))
+    w = Window.partitionBy(on).orderBy(day)
+    payload = F.struct(*checked)
+    same = F.lag("_next").over(w).eqNullSafe(F.col(day)) & F.lag("_payload").over(w).eqNullSafe(F.col("_payload"))
+    runs = told.join(F.broadcast(days), day).withColumn("_payload", payload).withColumn("_new", (~same).cast("int")).withColumn("_run", F.sum("_new").over(w))
+    per = runs.groupBy(on, "_run").agg(F.min(day).alias("valid_from"), F.max(F.struct(day, "_next", "_payload")).alias("_m"))
+    return per.select(on, *[F.col(f"_m._payload.{c}").alias(c) for c in checked], "valid_from", F.col("_m._next").alias("valid_to"))
+
+
 # --- table tests: each gives the rows that fail, none if the table is sound ---
 
 

@@ -75,22 +75,17 @@ add("test_accepted_values", lambda t: staging.not_accepted(t.dim_part, "lifecycl
 add("test_relationships", lambda t: staging.without_parent(t.fact_bom, "child_part_key", t.dim_part, "part_key"), "select child_part_key as value, count(*) n from fact_bom where child_part_key is not null and child_part_key not in (select part_key from dim_part) group by 1")
 
 
-def _month(t: Tables, day: str) -> DataFrame:
-    rows = t.raw("part_master_snapshot").where(F.col("snapshot_date") == F.lit(day).cast("date"))
-    slim = rows.select(F.upper(F.trim("part_id")).alias("part_id"), "lifecycle_status", "lead_time_days", "primary_plant", "_ingested_at")
-    return staging.latest(slim, ["part_id"], "_ingested_at").drop("_ingested_at")
-
-
-def _two_months(t: Tables) -> DataFrame:
-    old = _month(t, "2025-06-01").withColumn("valid_from", F.lit("2025-06-01").cast("date"))
-    return staging.snapshot_changes(old, _month(t, "2025-07-01"), "part_id", ["lifecycle_status", "lead_time_days", "primary_plant"], "2025-07-01")
+def _snapshot_versions(t: Tables) -> DataFrame:
+    columns = ["lifecycle_status", "lead_time_days", "primary_plant"]
+    slim = t.raw("part_master_snapshot").select(F.upper(F.trim("part_id")).alias("part_id"), F.col("snapshot_date").cast("date").alias("snapshot_date"), *columns, "_ingested_at")
+    return staging.snapshot_versions(staging.latest(slim, ["part_id", "snapshot_date"], "_ingested_at"), "part_id", columns, "snapshot_date")
 
 
 def _month_sql(day: str) -> str:
     return f"select part_id, lifecycle_status, lead_time_days, primary_plant from (select upper(trim(part_id)) part_id, lifecycle_status, lead_time_days, primary_plant, _ingested_at from part_master_snapshot where snapshot_date = date '{day}') qualify row_number() over (partition by part_id order by _ingested_at desc, lifecycle_status desc nulls last, lead_time_days desc nulls last, primary_plant desc nulls last) = 1"
 
 
-add("snapshot_scd2", _two_months, """
+add("snapshot_scd2", _snapshot_versions, """
     select part_id, lifecycle_status, lead_time_days, primary_plant, date '2025-06-01' valid_from, case when n.part_id is null or row(o.lifecycle_status, o.lead_time_days, o.primary_plant) is distinct from row(n.lifecycle_status, n.lead_time_days, n.primary_plant) then date '2025-07-01' end valid_to from o left join n using (part_id)
     """.replace("select part_id, lifecycle_status, lead_time_days, primary_plant, date", "select o.part_id, o.lifecycle_status, o.lead_time_days, o.primary_plant, date") + """
     union all select n.part_id, n.lifecycle_status, n.lead_time_days, n.primary_plant, date '2025-07-01', null from n left join o using (part_id) where o.part_id is null or row(o.lifecycle_status, o.lead_time_days, o.primary_plant) is distinct from row(n.lifecycle_status, n.lead_time_days, n.primary_plant)""",

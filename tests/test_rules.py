@@ -89,3 +89,22 @@ def test_issues_are_those_of_all_rules(spark, made):
     got, want = quality.issues_of(t), made[1]
     count = lambda df: {r[0]: r[1] for r in df.groupBy("rule_id").count().collect()}
     assert count(got) == count(want) and set(count(got)) - {"COMP-001", "COMP-002", "COMP-003", "COMP-004", "COMP-006"}
+
+
+def test_snapshot_versions_of_all_days(spark, tmp_path):
+    days = [date(2024, 1, 1), date(2024, 2, 1), date(2024, 3, 1), date(2024, 5, 1)]
+    seen = {"a": "xxyy", "b": "x..x", "c": ".nnz", "d": "xxxx", "e": "x...", "f": "nxnn"}
+    data = [(k.upper() + " ", days[i], None if v == "n" else v, 3, None, date(2024, 6, 1)) for k, vs in seen.items() for i, v in enumerate(vs) if v != "."]
+    df = spark.createDataFrame([*data, ("A", days[0], "old", 3, None, date(2024, 5, 1)), (None, days[0], "x", 3, None, date(2024, 5, 1))], "part_id string, snapshot_date date, lifecycle_status string, lead_time_days int, primary_plant string, _ingested_at date")
+    df.write.parquet(f"{tmp_path}/part_master_snapshot.parquet")
+    got = quality.QUERIES["snapshot_scd2"](spark, str(tmp_path))
+    assert got.columns == ["part_id", "lifecycle_status", "lead_time_days", "primary_plant", "valid_from", "valid_to"]
+    folded = spark.createDataFrame([], "k string, v string, valid_from date")
+    closed = []
+    for i, day in enumerate(days):
+        new = spark.createDataFrame([(k.upper(), None if vs[i] == "n" else vs[i]) for k, vs in seen.items() if vs[i] != "."], "k string, v string")
+        step = staging.snapshot_changes(folded, new, "k", ["v"], str(day)).collect()
+        closed += [r for r in step if r["valid_to"]]
+        folded = spark.createDataFrame([(r["k"], r["v"], r["valid_from"]) for r in step if not r["valid_to"]], "k string, v string, valid_from date")
+    want = [(r["k"], r["v"], r["valid_from"], r["valid_to"]) for r in closed] + [(*r, None) for r in folded.collect()]
+    assert rows(got, "part_id", "lifecycle_status", "valid_from", "valid_to") == sorted(want, key=repr)
