@@ -130,6 +130,31 @@ def evaluation(found: DataFrame, truth: DataFrame) -> DataFrame:
     return n.select("difficulty", F.when(whole, F.col("predicted")).alias("predicted"), "labelled", "true_positives", F.round(precision, 4).alias("precision"), F.round(recall, 4).alias("recall"), F.round(f1, 4).alias("f1"))
 
 
+def evaluation_by_maker(found: DataFrame, p: DataFrame, shortest: int = 8) -> DataFrame:
+    """evaluation() for each band, the labelled duplicates being the pairs of one maker number in different sources.
+
+    found: (a, b, band), a < b; p as given by prepared(). The band human_review_required counts the recommended pairs too.
+    Pairs are easy if their units agree, else hard. Labelled pairs are counted, not built, so large groups count in full.
+    """
+    n, half = F.col("n"), lambda total, same: ((total * total - same) / 2).cast("long")
+    cells = p.where(F.length("mpn") >= shortest).groupBy("mpn", "source", "uom").agg(F.count(F.lit(1)).alias("n"))
+    pairs = lambda *by: (lambda c: c.groupBy(*by).agg(F.sum("n").alias("t"), F.sum(n * n).alias("q")).agg(F.coalesce(F.sum(half(F.col("t"), F.col("q"))), F.lit(0)).alias("labelled")))(cells.groupBy("source", *by).agg(F.sum("n").alias("n")))
+    both = pairs("mpn").withColumnRenamed("labelled", "every").crossJoin(pairs("mpn", "uom").withColumnRenamed("labelled", "same_unit"))
+    labelled = both.select(F.inline(F.array(*[F.struct(F.lit(d).alias("difficulty"), c.alias("labelled")) for d, c in (("all", F.col("every")), ("easy", F.col("same_unit")), ("hard", F.col("every") - F.col("same_unit")))])))
+    bands = ["high_confidence_recommendation", "human_review_required"]
+    labelled = labelled.where("difficulty = 'all' or labelled > 0").withColumn("band", F.explode(F.array(*[F.lit(b) for b in bands])))
+    side = lambda k: p.select(F.col("part_key").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("mpn", "source", "uom")])
+    kind = F.when((F.length("mpn_a") >= shortest) & (F.col("mpn_a") == F.col("mpn_b")) & (F.col("source_a") != F.col("source_b")), F.when(F.col("uom_a") == F.col("uom_b"), "easy").otherwise("hard"))
+    told = found.join(side("a"), "a").join(side("b"), "b").select("band", kind.alias("kind"))
+    told = told.where(F.col("band").isin(bands)).select(F.explode(F.when(F.col("band") == bands[0], F.array(*[F.lit(b) for b in bands])).otherwise(F.array("band"))).alias("band"), "kind")
+    hits = told.select("band", "kind", F.explode(F.array_compact(F.array(F.lit("all"), "kind"))).alias("difficulty")).groupBy("band", "difficulty").agg(F.count(F.lit(1)).alias("predicted"), F.count("kind").alias("true_positives"))
+    whole = F.col("difficulty") == "all"
+    out = labelled.join(hits, ["band", "difficulty"], "left").na.fill(0, ["predicted", "true_positives"])
+    precision, recall = F.when(whole, F.coalesce(F.try_divide("true_positives", "predicted"), F.lit(0.0))), F.coalesce(F.try_divide("true_positives", "labelled"), F.lit(0.0))
+    f1 = F.when(whole, F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0)))
+    return out.select("band", "difficulty", F.when(whole, F.col("predicted")).alias("predicted"), "labelled", "true_positives", F.round(precision, 4).alias("precision"), F.round(recall, 4).alias("recall"), F.round(f1, 4).alias("f1"))
+
+
 def pair_groups(pairs: DataFrame) -> DataFrame:
     """pairs with group: the number, from 0, of the connected group their parts belong to, by its smallest part."""
     from partloom.operators.stars import weak_groups

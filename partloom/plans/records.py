@@ -63,8 +63,8 @@ _TRUTH = "select x.part_key a, y.part_key b, case when x.uom = y.uom then 'easy'
 
 
 def _evaluated(t: Tables) -> DataFrame:
-    f = _features(t)
-    return resolve.evaluation(f.where("description_token_jaccard >= 0.5"), _truth(_prepared(t)))
+    found, _, _ = Cuts(t.spark, "matches").write(resolve.find_matches(t.dim_part).select("a", "b", "band"))
+    return resolve.evaluation_by_maker(found, _prepared(t))
 
 
 add("er_normalize", lambda t: resolve.prepared(t.dim_part).select("part_key", "pn_norm", "mpn", F.col("text").alias("txt"), F.size("tokens").alias("n_tokens")), "select part_key, pn_norm, mpn, txt, cast(len(toks) as int) n_tokens from prep", _ER)

@@ -43,6 +43,21 @@ def test_evaluation(spark):
     assert rows(resolve.evaluation(found, truth), "difficulty", "labelled", "true_positives", "precision", "recall") == [("all", 2, 1, 0.5, 0.5), ("easy", 1, 1, None, 1.0), ("hard", 1, 0, None, 0.0)]
 
 
+def test_evaluation_of_the_matcher_by_band(spark):
+    from types import SimpleNamespace
+
+    from partloom.plans import records
+
+    same = ("FAS-123456", "MPN-11112222", "STAINLESS BOLT M3X8")
+    big = [(f"G{i:03d}", f"X{i}", "MPN-BIG99999", None, "EA" if i % 4 else "KG", None, None, None, f"S{i % 2}") for i in range(210)]
+    p = parts(spark, [("A", *same, "EA", "FASTENERS", 1.0, 10, "S1"), ("B", *same, "EA", "FASTENERS", 1.0, 10, "S2"), ("C", "ZZZ-1", "MPN-33334444", "PUMP HOUSING CAST", "EA", "PUMPS", 5.0, 1, "S1"), ("D", "YYY-2", "MPN-33334444", "TOTALLY OTHER WORDS", "KG", "TOOLS", 500.0, 90, "S2"), *big])
+    got = {(r["band"], r["difficulty"]): tuple(r)[2:5] for r in records._evaluated(SimpleNamespace(spark=spark, dim_part=p)).collect()}
+    pairs = [(x, y) for i, x in enumerate(big) for y in big[i + 1 :] if x[8] != y[8]]
+    easy = sum(x[4] == y[4] for x, y in pairs)
+    for band in ("high_confidence_recommendation", "human_review_required"):
+        assert got[band, "all"] == (1, len(pairs) + 2, 1) and got[band, "easy"] == (None, easy + 1, 1) and got[band, "hard"] == (None, len(pairs) - easy + 1, 0)
+
+
 def test_split_keeps_entities_apart(spark):
     pairs = spark.createDataFrame([(f"P{i}", f"P{i + 1}") for i in range(0, 60, 3)] + [("P0", "P2")], "a string, b string")
     s = resolve.split(resolve.pair_groups(pairs)).cache()
