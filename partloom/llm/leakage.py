@@ -25,6 +25,8 @@ MOST_PASSAGE_WORDS = 1_000_000
 # fixed values: unit words that become a placeholder in templates
 UNITS = frozenset("mm cm m km kg g mg t l ml h hr hrs min s day days tag tage día días dia dias hour hours stunden horas week weeks wochen semanas percent prozent usd eur pcs pieces nm v a w kw hz bar pa c f".split())
 
+PLACES = pa.list_(pa.struct([(c, pa.int64()) for c in ("template", "verbatim", "changed")]))
+
 _WORD = re.compile(r"[^\W_]+")
 _FORMAT = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿￹-￻]")
 
@@ -96,8 +98,50 @@ class _Index:
             known &= part > 0
         return np.where(known, h | np.uint64(1), np.uint64(0))
 
-    def meet(self, text: str) -> list[tuple[int, int, int, int, int, int, bool]]:
-        """(item index, item words, verbatim words, template words, runs, slots changed, consistent) of each passage the text meets."""
+    def _occurrences(self, item: list[str], w: list[str], diagonals: dict[int, list[tuple[int, bool]]]) -> list[tuple[int, int, int]]:
+        """(template words, verbatim words, slots changed) of each place where the text holds the passage changed consistently.
+
+        Windows of one diagonal stand together. Of diagonals that claim the same words the one that covers more counts;
+        those that follow each other in text and passage (words put in or left out) are one place while their slots agree.
+        """
+        aligned = []
+        for shift, windows in diagonals.items():
+            like = sorted({j + k for j, _ in windows for k in range(WINDOW)})
+            same = {j + k for j, equal in windows if equal for k in range(WINDOW)}
+            swaps: dict[str, set[str]] = {}
+            for j in like:
+                if item[j] != w[j + shift]:
+                    swaps.setdefault(item[j], set()).add(w[j + shift])
+            aligned.append((like, same, swaps, shift))
+        aligned.sort(key=lambda a: (-len(a[0]), a[3]))
+        taken, kept = set(), []
+        for like, same, swaps, shift in aligned:
+            at = {j + shift for j in like}
+            if len(at & taken) < WINDOW:
+                taken |= at
+                kept.append((like, same, swaps, shift))
+        kept.sort(key=lambda a: a[0][0] + a[3])
+        open_: list[list] = []
+        places = []
+        for like, same, swaps, shift in kept:
+            start, end = like[0] + shift, like[-1] + shift
+            if any(len(v) > 1 for v in swaps.values()):
+                continue
+            open_ = [o for o in open_ if start - o[4] <= len(item)]
+            o = next((o for o in reversed(open_) if like[0] > o[3] and all(o[2].get(x, v) == v for x, v in swaps.items())), None)
+            if o is None:
+                o = [set(like), set(same), dict(swaps), like[0], end]
+                open_.append(o)
+                places.append(o)
+            else:
+                o[0].update(like)
+                o[1].update(same)
+                o[2].update(swaps)
+                o[3], o[4] = like[0], end
+        return sorted({(len(o[0]), len(o[1]), len(o[2])) for o in places if o[2]})
+
+    def meet(self, text: str) -> list[tuple[int, int, int, int, int, int, bool, list[tuple[int, int, int]]]]:
+        """(item index, item words, verbatim words, template words, runs, slots changed, consistent, places) of each passage the text meets."""
         w = words(text)
         if len(w) < WINDOW:
             return []
@@ -129,28 +173,33 @@ class _Index:
             item = self.items[k][1]
             same, like = np.zeros(len(item), bool), np.zeros(len(item), bool)
             swaps: dict[str, set[str]] = {}
+            diagonals: dict[int, list[tuple[int, bool]]] = {}
             for j, p, equal in meets:
                 # the hash only proposes: words and slots are compared
                 pairs = list(zip(item[j : j + WINDOW], w[p : p + WINDOW]))
                 if equal and all(x == y for x, y in pairs):
                     same[j : j + WINDOW] = like[j : j + WINDOW] = True
+                    diagonals.setdefault(p - j, []).append((j, True))
                 elif all(x == y or (_is_slot(x, self.names) and _is_slot(x, self.names) == _is_slot(y, self.names)) for x, y in pairs):
                     like[j : j + WINDOW] = True
+                    diagonals.setdefault(p - j, []).append((j, False))
                     for x, y in pairs:
                         if x != y:
                             swaps.setdefault(x, set()).add(y)
             runs = int((np.diff(np.concatenate([[0], like.astype(np.int8)])) == 1).sum())
             changed = len(swaps)
-            out.append((k, len(item), int(same.sum()), int(like.sum()), runs, changed, all(len(v) == 1 for v in swaps.values())))
+            places = self._occurrences(item, w, diagonals) if changed else []
+            out.append((k, len(item), int(same.sum()), int(like.sum()), runs, changed, all(len(v) == 1 for v in swaps.values()), places))
         return out
 
 
 def meetings(items: DataFrame, documents: DataFrame, names: frozenset[str] = frozenset()) -> DataFrame:
-    """(item_id, doc_id, n_words, n_verbatim, n_template, n_runs, n_changed, consistent): one row per passage and document that share a template window.
+    """(item_id, doc_id, n_words, n_verbatim, n_template, n_runs, n_changed, consistent, places): one row per passage and document that share a template window.
 
     n_words: the passage's words; n_verbatim: those in runs of WINDOW or more words that stand in the document the same way;
     n_template: those in such runs up to the words in slots; n_changed: slot words of the passage that stand changed;
-    consistent: each of them changed to the same word throughout. Null, empty and shorter texts meet nothing;
+    consistent: each of them changed to the same word throughout; places: (template, verbatim, changed) of each place of
+    the document where the passage stands changed consistently, whatever else the document holds. Null, empty and shorter texts meet nothing;
     whole texts are read. Rows repeated in full count once.
     """
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "passage").where("item_id is not null and passage is not null").distinct()
@@ -167,10 +216,12 @@ def meetings(items: DataFrame, documents: DataFrame, names: frozenset[str] = fro
                 if text:
                     out += [(index.items[m[0]][0], doc, *m[1:]) for m in index.meet(text)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["item_id", "doc_id", "n_words", "n_verbatim", "n_template", "n_runs", "n_changed", "consistent"])
+                *plain, places = zip(*out)
+                places = pa.array([[dict(zip(("template", "verbatim", "changed"), x)) for x in p] for p in places], PLACES)
+                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in plain], places], names=["item_id", "doc_id", "n_words", "n_verbatim", "n_template", "n_runs", "n_changed", "consistent", "places"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").mapInArrow(
-        scan, "item_id long, doc_id long, n_words long, n_verbatim long, n_template long, n_runs long, n_changed long, consistent boolean").distinct()
+        scan, "item_id long, doc_id long, n_words long, n_verbatim long, n_template long, n_runs long, n_changed long, consistent boolean, places array<struct<template: bigint, verbatim: bigint, changed: bigint>>").distinct()
 
 
 def leaks(met: DataFrame, share: float = 0.5) -> DataFrame:
@@ -179,5 +230,13 @@ def leaks(met: DataFrame, share: float = 0.5) -> DataFrame:
 
 
 def reworked(met: DataFrame, share: float = 0.5) -> DataFrame:
-    """Documents that hold a passage with changed slots: enough of it as template, changed consistently, and not verbatim enough."""
-    return met.where((F.col("n_template") >= share * F.col("n_words")) & F.col("consistent") & (F.col("n_changed") > 0) & (F.col("n_verbatim") < share * F.col("n_words"))).select("item_id", "doc_id", "n_words", "n_verbatim", "n_template", "n_changed")
+    """Documents that hold a passage with changed slots: enough of it as template, changed consistently, and not verbatim enough.
+
+    It is enough that one place of the document is so, or all its meetings together; the figures are those of the place that covers most, or of all.
+    """
+    least = F.lit(share) * F.col("n_words")
+    whole = (F.col("n_template") >= least) & F.col("consistent") & (F.col("n_changed") > 0) & (F.col("n_verbatim") < least)
+    best = F.array_max(F.filter("places", lambda p: (p["template"] >= least) & (p["verbatim"] < least)))
+    at = met.withColumn("_whole", whole).withColumn("_best", best).where("_whole or _best is not null")
+    pick = lambda c: F.when(F.col("_whole"), F.col(f"n_{c}")).otherwise(F.col(f"_best.{c}")).alias(f"n_{c}")
+    return at.select("item_id", "doc_id", "n_words", pick("verbatim"), pick("template"), pick("changed"))

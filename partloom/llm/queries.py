@@ -69,7 +69,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_meetings(spark: SparkSession, d: str) -> DataFrame:
     """Every passage and document that share a template window, with how much is verbatim and how much changed."""
-    return _met(spark, d)
+    return _met(spark, d).drop("places")
 
 
 def p9_reworked(spark: SparkSession, d: str) -> DataFrame:

@@ -40,3 +40,13 @@ def test_edges(spark):
             met(spark, [(1, ITEM)])
     finally:
         leakage.MOST_PASSAGE_WORDS = old
+
+
+def test_each_place_of_a_changed_passage_counts(spark):
+    text = "which {} pallets delay {} brittle orders at level {} before {} planners mirror the {} lots"
+    item, one, two = (text.format(*(n + k for n in (12, 14, 289, 3, 8))) for k in (0, 20, 40))
+    more = lambda x: x.replace(" orders ", " orders again ").replace(" before ", " before all ")
+    docs = [(1, f"{one} and then {two}"), (2, f"{one} and then orders at level 5 before"), (3, f"{item} and then {two}"), (4, one), (5, item), (6, f"{more(one)} and then {more(two)}"), (7, "orders at level 5 before and orders at level 6 before")]
+    m = met(spark, docs, [(1, item)])
+    assert rows(leakage.reworked(m), "doc_id", "n_changed") == [(1, 5), (2, 5), (3, 5), (4, 5), (6, 4)]
+    assert {r["doc_id"] for r in leakage.leaks(m).collect()} == {3, 5}
