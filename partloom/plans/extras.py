@@ -32,37 +32,44 @@ add("ingest_rowhash", lambda s, d: Tables(s, d).raw("supplier_parts").select("su
 add("ingest_rejects", lambda s, d: split_rejects(Tables(s, d).raw("supplier_parts").select("part_id", "supplier_id", "supplier_part_id"), "part_id")[1].select("reason", "record_json"), "select 'null part_id' reason, '{' || case when part_id is not null then '\"part_id\":\"' || replace(part_id, chr(9), '\\t') || '\",' else '' end || coalesce('\"supplier_id\":\"' || supplier_id || '\",', '') || '\"supplier_part_id\":\"' || supplier_part_id || '\"}' record_json from supplier_parts where part_id is null or trim(part_id) = ''")
 
 
-def _made(spark: SparkSession, rate: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _profile(spark: SparkSession, d: str, **more: int) -> Profile:
+    """Made-up data of as many parts as the input's part_master has rows, and of the default profile at least; suppliers in proportion."""
+    least = Profile(**more)
+    parts = max(least.parts, Tables(spark, d).raw("part_master").count())
+    return Profile(parts=parts, suppliers=parts * least.suppliers // least.parts, **more)
+
+
+def _made(spark: SparkSession, d: str, rate: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(violations of the clean data, those of the same data with defects, the labels)."""
     cuts = Cuts(spark, "detection")
     keep = lambda tables: {k: cuts.write(v)[0] for k, v in tables.items()}
-    clean = keep(Generator(spark, Profile(parts=300, suppliers=30, plants=2, seed=11)).all())
+    clean = keep(Generator(spark, _profile(spark, d, seed=11)).all())
     dirty, labels = inject(clean, rate, 11)
     labels, dirty = cuts.write(labels)[0], keep(dirty)
     found = [cuts.write(rules.run(detection.GeneratedTables(t))[0])[0] for t in (clean, dirty)]
     return found[0], found[1], labels
 
 
-def _rollup(spark: SparkSession, _: str) -> DataFrame:
-    clean, dirty, labels = _made(spark, 0.05)
+def _rollup(spark: SparkSession, d: str) -> DataFrame:
+    clean, dirty, labels = _made(spark, d, 0.05)
     return detection.rollup(detection.recall(dirty, labels), detection.precision(detection.new_findings(dirty, clean), labels))
 
 
-def _recall(spark: SparkSession, _: str) -> DataFrame:
-    _, dirty, labels = _made(spark, 0.05)
+def _recall(spark: SparkSession, d: str) -> DataFrame:
+    _, dirty, labels = _made(spark, d, 0.05)
     return detection.recall(dirty, labels)
 
 
-def _clean(spark: SparkSession, _: str) -> DataFrame:
-    t = Generator(spark, Profile(parts=300, suppliers=30, plants=2, seed=11)).all()
+def _clean(spark: SparkSession, d: str) -> DataFrame:
+    t = Generator(spark, _profile(spark, d, seed=11)).all()
     return detection.unexpected(rules.run(detection.GeneratedTables(t))[0])
 
 
 add("detection_rollup", _rollup)
 add("detection_recall", _recall)
 add("detection_clean_baseline", _clean)
-add("generate_broken_references", lambda s, d: broken_references(Generator(s, Profile(parts=300, suppliers=30, plants=2)).all()))
-add("generate_counts", lambda s, d: reduce(DataFrame.unionByName, [v.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("table_name"), "n") for k, v in Generator(s, Profile(parts=300, suppliers=30, plants=2)).all().items()]))
+add("generate_broken_references", lambda s, d: broken_references(Generator(s, _profile(s, d)).all()))
+add("generate_counts", lambda s, d: reduce(DataFrame.unionByName, [v.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("table_name"), "n") for k, v in Generator(s, _profile(s, d)).all().items()]))
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:

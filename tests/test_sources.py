@@ -46,3 +46,13 @@ def test_streams(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out")), "id", "v") == [("1", "x"), ("2", "y")]
     d = spark.createDataFrame([("i", "d1", 1, "APPROVED"), ("i", "d2", 2, "CLOSED")], "issue_id string, decision_id string, decided_at int, after_status string")
     assert rows(streams.latest_status(d)) == [("i", "CLOSED")]
+
+
+def test_made_up_data_follows_the_input(spark, tmp_path):
+    from partloom.plans import extras
+
+    spark.range(950).selectExpr("concat('P', id) part_id").write.parquet(f"{tmp_path}/part_master.parquet")
+    n = dict(rows(extras.QUERIES["generate_counts"](spark, str(tmp_path))))
+    assert n["part_master"] >= 950 and n["suppliers"] == 63
+    spark.range(5).selectExpr("concat('P', id) part_id").write.mode("overwrite").parquet(f"{tmp_path}/part_master.parquet")
+    assert extras._profile(spark, str(tmp_path), seed=11) == extras.Profile(seed=11)
