@@ -163,13 +163,9 @@ def rule_sql(rule_id: str) -> str:
     return _v(r.entity_type, r.key, r.field, r.value.replace(" as string)", " as varchar)"), f"{r.table} where {r.when}")
 
 
-#: the rules whose violations the scores and marts are tested on, both of row and of set kind
-ISSUE_RULES = ["COMP-001", "COMP-002", "COMP-003", "COMP-004", "COMP-006", "VALD-001", "VALD-003", "VALD-004", "VALD-006", "VALD-007", "REFI-001", "REFI-002", "XFLD-007", "TEMP-004", "GRPH-001"]
-
-
 def issues_sql(rules: list[str] | None = None) -> dict[str, str]:
-    """The named parts found and issues."""
-    chosen = [r for r in RULES if r.rule_id in (rules or ISSUE_RULES)]
+    """The named parts found and issues, of all rules or of those named."""
+    chosen = [r for r in RULES if rules is None or r.rule_id in rules]
     found = " union all ".join(f"select '{r.rule_id}' rule_id, '{r.severity}' severity, '{r.domain}' domain, v.* from ({rule_sql(r.rule_id)}) v" for r in chosen)
     return {
         "found": found,

@@ -50,7 +50,6 @@ def decisions_of(t: Tables) -> DataFrame:
 
 
 _I = {"more": issues_sql()}
-_ALL = {"more": issues_sql([r.rule_id for r in rules.RULES])}
 _D = {"more": issues_sql() | {"decisions": """select 'D' || issue_id decision_id, issue_id, 'R' || (d % 3) reviewer, case when d < 5 then 'approve' when d < 8 then 'reject' else 'request_evidence' end decision,
     case when d < 5 then 'APPROVED' when d < 8 then 'REJECTED' else 'PENDING_REVIEW' end after_status, cast(detected_at + d as date) decided_at
     from (select distinct issue_id, detected_at, try_cast(right(issue_id, 1) as int) d from issues) where d is not null"""}}
@@ -75,21 +74,19 @@ add("test_accepted_values", lambda t: staging.not_accepted(t.dim_part, "lifecycl
 add("test_relationships", lambda t: staging.without_parent(t.fact_bom, "child_part_key", t.dim_part, "part_key"), "select child_part_key as value, count(*) n from fact_bom where child_part_key is not null and child_part_key not in (select part_key from dim_part) group by 1")
 
 
-def _snapshot_versions(t: Tables) -> DataFrame:
-    columns = ["lifecycle_status", "lead_time_days", "primary_plant"]
-    slim = t.raw("part_master_snapshot").select(F.upper(F.trim("part_id")).alias("part_id"), F.col("snapshot_date").cast("date").alias("snapshot_date"), *columns, "_ingested_at")
-    return staging.snapshot_versions(staging.latest(slim, ["part_id", "snapshot_date"], "_ingested_at"), "part_id", columns, "snapshot_date")
+SNAPSHOT_COLUMNS = ["description", "uom", "lifecycle_status", "standard_cost", "lead_time_days", "primary_plant"]
 
 
-def _month_sql(day: str) -> str:
-    return f"select part_id, lifecycle_status, lead_time_days, primary_plant from (select upper(trim(part_id)) part_id, lifecycle_status, lead_time_days, primary_plant, _ingested_at from part_master_snapshot where snapshot_date = date '{day}') qualify row_number() over (partition by part_id order by _ingested_at desc, lifecycle_status desc nulls last, lead_time_days desc nulls last, primary_plant desc nulls last) = 1"
+def _snapshot_versions(t: Tables) -> DataFrame:
+    slim = t.raw("part_master_snapshot").select(F.upper(F.trim("part_id")).alias("part_id"), F.col("snapshot_date").cast("date").alias("snapshot_date"), *SNAPSHOT_COLUMNS, "_ingested_at")
+    return staging.snapshot_versions(staging.latest(slim, ["part_id", "snapshot_date"], "_ingested_at"), "part_id", SNAPSHOT_COLUMNS, "snapshot_date")
 
 
-add("snapshot_scd2", _snapshot_versions, """
-    select part_id, lifecycle_status, lead_time_days, primary_plant, date '2025-06-01' valid_from, case when n.part_id is null or row(o.lifecycle_status, o.lead_time_days, o.primary_plant) is distinct from row(n.lifecycle_status, n.lead_time_days, n.primary_plant) then date '2025-07-01' end valid_to from o left join n using (part_id)
-    """.replace("select part_id, lifecycle_status, lead_time_days, primary_plant, date", "select o.part_id, o.lifecycle_status, o.lead_time_days, o.primary_plant, date") + """
-    union all select n.part_id, n.lifecycle_status, n.lead_time_days, n.primary_plant, date '2025-07-01', null from n left join o using (part_id) where o.part_id is null or row(o.lifecycle_status, o.lead_time_days, o.primary_plant) is distinct from row(n.lifecycle_status, n.lead_time_days, n.primary_plant)""",
-    more={"o": _month_sql("2025-06-01"), "n": _month_sql("2025-07-01")})
+_CHECKED = ", ".join(SNAPSHOT_COLUMNS)
+add("snapshot_scd2", _snapshot_versions, f"""select part_id, {", ".join(f"min({c}) {c}" for c in SNAPSHOT_COLUMNS)}, min(d) valid_from, first(nxt order by d desc) valid_to from
+    (select *, sum(starts) over (partition by part_id order by d) run from (select *, case when lag(nxt) over w is not distinct from d and lag(row({_CHECKED})) over w is not distinct from row({_CHECKED}) then 0 else 1 end starts from pictures join following using (d) window w as (partition by part_id order by d))) group by part_id, run""",
+    more={"pictures": f"select part_id, d, {_CHECKED} from (select upper(trim(part_id)) part_id, cast(snapshot_date as date) d, {_CHECKED}, _ingested_at from part_master_snapshot where part_id is not null and snapshot_date is not null) qualify row_number() over (partition by part_id, d order by _ingested_at desc, {', '.join(f'{c} desc nulls last' for c in SNAPSHOT_COLUMNS)}) = 1",
+          "following": "select d, lead(d) over (order by d) nxt from (select distinct d from pictures)"})
 
 # the rules, one by one and together
 for _r in rules.RULES:
@@ -101,7 +98,7 @@ def _run_counts(t: Tables) -> DataFrame:
     return rules.executions(found, failed, "run-1")
 
 
-add("dq_run_executions", _run_counts, "select 'run-1' run_id, r.rule_id, '1.0' rule_version, count(f.rule_id) violations, 'OK' status from (values " + ", ".join(f"('{r.rule_id}')" for r in rules.RULES) + ") r(rule_id) left join found f using (rule_id) group by r.rule_id", **_ALL)
+add("dq_run_executions", _run_counts, "select 'run-1' run_id, r.rule_id, '1.0' rule_version, count(f.rule_id) violations, 'OK' status from (values " + ", ".join(f"('{r.rule_id}')" for r in rules.RULES) + ") r(rule_id) left join found f using (rule_id) group by r.rule_id", **_I)
 add("dq_issues", lambda t: issues_of(t).select("issue_id", "rule_id", "run_id", *rules.VIOLATION, "severity", "domain", "rule_sql_version", "status", "detected_at"), "select issue_id, rule_id, 'run-1' run_id, entity_type, entity_key, field, failed_value, severity, domain, '1.0' rule_sql_version, status, detected_at from issues", **_I)
 add("dq_rules", lambda t: rules.rule_table(t).drop("threshold"), "select * from (values " + ", ".join(f"('{r.rule_id}', '{r.name.replace(chr(39), chr(39) * 2)}', '{r.severity}', '{r.domain}', '{r.version}', true)" for r in rules.RULES) + ") x(rule_id, name, severity, domain, version, enabled)")
 

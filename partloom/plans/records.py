@@ -59,9 +59,6 @@ def _truth(p: DataFrame) -> DataFrame:
     return both.select("a", "b", F.when(F.col("u") == F.col("v"), "easy").otherwise("hard").alias("difficulty"))
 
 
-_TRUTH = "select x.part_key a, y.part_key b, case when x.uom = y.uom then 'easy' else 'hard' end difficulty from prep x join prep y on x.mpn = y.mpn and x.part_key < y.part_key and x.source <> y.source where length(x.mpn) >= 8 and x.mpn in (select mpn from prep group by 1 having count(*) between 2 and 200)"
-
-
 def _evaluated(t: Tables) -> DataFrame:
     found, _, _ = Cuts(t.spark, "matches").write(resolve.find_matches(t.dim_part).select("a", "b", "band"))
     return resolve.evaluation_by_maker(found, _prepared(t))
@@ -71,9 +68,7 @@ add("er_normalize", lambda t: resolve.prepared(t.dim_part).select("part_key", "p
 add("er_block", lambda t: resolve.candidate_pairs(_prepared(t)), "select a, b from cand", _ER)
 add("er_features", lambda t: _features(t).drop("pn_a", "pn_b", "text_a", "text_b"), "select * from feat", _ER)
 add("er_matches", lambda t: resolve.find_matches(t.dim_part))
-add("er_evaluate", _evaluated, """select 'all' difficulty, count(p) predicted, count(t) labelled, count(*) filter (p = 1 and t = 1) true_positives, round(coalesce(count(*) filter (p = 1 and t = 1) / nullif(count(p), 0), 0), 4) as "precision", round(coalesce(count(*) filter (p = 1 and t = 1) / nullif(count(t), 0), 0), 4) recall,
-    round(coalesce(2 * count(*) filter (p = 1 and t = 1) / nullif(count(p) + count(t), 0), 0), 4) f1 from hit full join lab using (a, b)
-    union all select difficulty, null, count(*), count(p), null, round(count(p) / count(*), 4), null from lab left join hit using (a, b) group by 1""", _ER | {"hit": "select a, b, 1 p from feat where description_token_jaccard >= 0.5", "lab": f"select *, 1 t from ({_TRUTH})"})
+add("er_evaluate", _evaluated)
 
 
 def _trained(t: Tables) -> DataFrame:
