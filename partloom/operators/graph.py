@@ -67,9 +67,15 @@ def reach_counts(reached: DataFrame, edges: DataFrame) -> DataFrame:
 def depths(h: Hierarchy, reached: DataFrame) -> DataFrame:
     """(part, depth, endless): longest chain below; for parts that can reach a cycle the number of parts below instead."""
     ends = h.edges.select(F.col("parent").alias("part")).union(h.edges.select(F.col("child").alias("part"))).distinct()
-    n = reached.join(h.endless, "part", "left_semi").groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    loops = h.endless.join(n, "part", "left").select("part", F.coalesce("n", F.lit(0)).alias("n"), F.lit(True).alias("endless"))
-    return ends.join(h.sizes.select("part", "depth"), "part", "left").join(loops, "part", "left").select("part", F.coalesce(F.col("n"), F.col("depth").cast("long"), F.lit(0)).alias("depth"), F.coalesce("endless", F.lit(False)).alias("endless"))
+    chains, endless = h.longest()
+    n = reached.join(endless, "part", "left_semi").groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    loops = endless.join(n, "part", "left").select("part", F.coalesce("n", F.lit(0)).alias("n"), F.lit(True).alias("endless"))
+    return ends.join(chains, "part", "left").join(loops, "part", "left").select("part", F.coalesce(F.col("n"), F.col("depth").cast("long"), F.lit(0)).alias("depth"), F.coalesce("endless", F.lit(False)).alias("endless"))
+
+
+def max_depth(h: Hierarchy, reached: DataFrame) -> DataFrame:
+    """One row (max_depth): the greatest depth of any part; 0 without links."""
+    return depths(h, reached).agg(F.coalesce(F.max("depth"), F.lit(0)).cast("long").alias("max_depth"))
 
 
 def expansion(h: Hierarchy, edges: DataFrame, part: str, most_levels: int | None = None) -> DataFrame:

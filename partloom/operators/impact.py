@@ -54,8 +54,8 @@ def replaced(links: DataFrame, parent: str, old: str, new: str) -> DataFrame:
 
 
 def has_cycle(links: DataFrame) -> bool:
-    """Whether a part contains itself, directly or indirectly: the parts that never finish upward are not none."""
-    return Hierarchy(links.where("parent_part_key is not null and child_part_key is not null").select(F.col("parent_part_key").alias("parent"), F.col("child_part_key").alias("child")).distinct()).n_endless > 0
+    """Whether a part contains itself, directly or indirectly: the links between entries that are never processed are not none."""
+    return Hierarchy(links.where("parent_part_key is not null and child_part_key is not null").select(F.col("parent_part_key").alias("parent"), F.col("child_part_key").alias("child")).distinct()).has_cycle
 
 
 def merge_report(links: DataFrame, supplied: DataFrame, parts: DataFrame, duplicate: str, survivor: str) -> DataFrame:

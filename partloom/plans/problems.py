@@ -24,8 +24,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Every part's path, level and nested-set range below each of its roots."""
-    return _hierarchy(spark, d).places(with_paths=True).select("root", "part", "level", "pre", "last", F.array_join("path", ">").alias("path"))
+    """Every part's path and level below each of its roots."""
+    return _hierarchy(spark, d).places(with_paths=True).select("root", "part", "level", F.array_join("path", ">").alias("path"))
+
+
+def p2_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """The nested-set range, depth and parent of every part with children in the forest of the links."""
+    return _hierarchy(spark, d).nodes.select("part", "up", "top", "pre", "last", "depth")
 
 
 def _dangling(spark: SparkSession, d: str) -> DataFrame:
@@ -96,4 +101,4 @@ def p7_versions(spark: SparkSession, d: str) -> DataFrame:
     return _versions(spark, d).drop("value")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p4_found, p4_report, p5_found, p5_profile, p5_forms, p7_found, p7_versions)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_ranges, p4_found, p4_report, p5_found, p5_profile, p5_forms, p7_found, p7_versions)}

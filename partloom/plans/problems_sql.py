@@ -10,20 +10,31 @@ def key(c: str) -> str:
 _LINKS = f"""links as (
   select distinct p, c from (select {key('parent_part_key')} p, {key('child_part_key')} c from fact_bom_relationship) where p is not null and c is not null)"""
 
-P2 = f"""
-with recursive {_LINKS},
-roots as (select distinct p from links where p not in (select c from links)),
-walk(root, part, lvl) as (
+_BELOW = f"""{_LINKS},
+roots as (select distinct p from links where p <> c and p not in (select c from links where p <> c)),
+front(root, part, lvl) using key (root, part) as (
   select p, p, 0 from roots
   union
-  select w.root, l.c, w.lvl + 1 from walk w join links l on l.p = w.part where w.lvl < 70),
+  select f.root, l.c, min(f.lvl) + 1 from front f join links l on l.p = f.part left join recurring.front r on r.root = f.root and r.part = l.c where r.part is null group by f.root, l.c)"""
+
+P2 = f"""
+with recursive {_BELOW},
 reach(a, b) as (select p, c from links union select r.a, l.c from reach r join links l on l.p = r.b),
 mutual as (select x.a, least(min(x.b), x.a) g from reach x join reach y on x.a = y.b and x.b = y.a group by x.a)
-select 'below_root' kind, root root_part_key, part part_key, cast(min(lvl) as bigint) n_levels from walk where lvl > 0 group by root, part
+select 'below_root' kind, root root_part_key, part part_key, cast(lvl as bigint) n_levels from front where lvl > 0
 union all
 select 'on_cycle', g, a, cast(0 as bigint) from mutual
 """
 
+P2_PATHS = f"""
+with recursive {_BELOW},
+ways(root, part, lvl, path) as (
+  select p, p, 0, [p] from roots
+  union all
+  select w.root, l.c, w.lvl + 1, list_append(w.path, l.c) from ways w join links l on l.p = w.part join front f on f.root = w.root and f.part = l.c and f.lvl = w.lvl + 1)
+select root, part, cast(lvl as bigint) as "level", array_to_string(min(path), '>') as path from ways group by root, part, lvl
+"""
+
 P4 = f"""
 with refs as (
   select 'fact_bom_relationship' table_name, bom_rel_key record_key, 'parent_part_key' field_name, {key('parent_part_key')} k, min(_ingested_at) over (partition by bom_rel_key) seen from fact_bom_relationship
@@ -90,4 +101,4 @@ vers as (select field_name, part_id, plant_code, run, min(d) valid_from, count(*
 select field_name, part_id, plant_code, cast(valid_from as date) valid_from, cast(lead(valid_from) over (partition by field_name, part_id, plant_code order by run) - interval 1 day as date) valid_to, n_rows from vers
 """
 
-ORACLES = {"p2_found": P2, "p4_found": P4, "p4_report": P4_REPORT, "p5_found": P5, "p7_found": P7, "p7_versions": P7_VERSIONS}
+ORACLES = {"p2_found": P2, "p2_paths": P2_PATHS, "p4_found": P4, "p4_report": P4_REPORT, "p5_found": P5, "p7_found": P7, "p7_versions": P7_VERSIONS}

@@ -42,18 +42,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def static_plans(spark: SparkSession) -> Iterator[None]:
-    """Plans fixed before they run, for loops of many small steps whose partitions are chosen from the counts seen before.
+def static_plans(spark: SparkSession, tasks: int | None = None) -> Iterator[None]:
+    """Plans fixed before they run, for loops of many small steps whose partitions (tasks) are chosen from the counts seen before.
 
     Adaptive planning submits and re-plans every shuffle of a step on its own; over hundreds of steps that is most of
     the time and of the driver's memory.
     """
-    before = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    own = {"spark.sql.adaptive.enabled": "false"} | ({} if tasks is None else {"spark.sql.shuffle.partitions": str(tasks)})
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 class Cuts:
