@@ -94,7 +94,7 @@ def discrepancies(quotes: DataFrame, suppliers: DataFrame, supplied: DataFrame)
 
 #: fixed values: kinds of questions, the first whose words are all found; what would change data is refused
 QUESTIONS: list[tuple[str, str]] = [
-    ("mutation_request", r"\b(approve|apply|reject|update|delete|change|fix|merge|set)\b"), ("duplicate_explanation", r"duplicate.*prt\d|prt\d.*duplicate"), ("failed_rules", r"(?=.*rule)(?=.*fail)(?=.*prt\d)"),
+    ("mutation_request", r"\b(approve|reject|apply|merge now|delete|update|fix it|change the)\b"), ("duplicate_explanation", r"duplicate.*prt\d|prt\d.*duplicate"), ("failed_rules", r"(?=.*rule)(?=.*fail)(?=.*prt\d)"),
     ("reverse_dependencies", r"(?=.*(depend|assembl))(?=.*prt\d)"), ("obsolete_demand", r"(?=.*obsolete)(?=.*demand)"), ("supplier_risk", r"(?=.*supplier)(?=.*(risk|exposure))"),
     ("plant_issues", r"(?=.*\bpl\d\d)(?=.*(issue|risk))"), ("abstentions", r"abstain|abstention"), ("entity_issues", r"\bprt\d"),
 ]

@@ -86,38 +86,40 @@ def expansion(h: Hierarchy, edges: DataFrame, part: str, most_levels: int | None
     return rows if most_levels is None else rows.where(F.col("level") <= most_levels)
 
 
-def simple_paths(edges: DataFrame, start: str, end: str, most: int = 25, most_links: int = 100) -> DataFrame:
+def closure_of(edges: DataFrame, part: str, down: bool = True) -> DataFrame:
+    """(part): a part and all parts below it (above it, with down=False), level by level; for single questions, as every level is a job of its own."""
+    cuts = Cuts(edges.sparkSession, "closure")
+    src, dst = ("parent", "child") if down else ("child", "parent")
+    step = edges.select(F.col(src).alias("part"), F.col(dst).alias("to"))
+    seen = front = edges.sparkSession.createDataFrame([(part,)], "part string")
+    while True:
+        nxt = front.join(step, "part").select(F.col("to").alias("part")).distinct().join(seen, "part", "left_anti")
+        front, n, _ = cuts.write(nxt)
+        if not n:
+            return seen
+        seen = seen.union(front)
+
+
+def simple_paths(edges: DataFrame, start: str, end: str, most: int = 25) -> DataFrame:
     """(path, n_links): up to `most` paths from start to end that meet no part twice, shortest first, then by their keys.
 
-    Only edges below start and above end are walked.
+    Only edges below start and above end are walked, until enough paths are found or none is open.
     """
     cuts = Cuts(edges.sparkSession, "paths")
-    one = edges.sparkSession.createDataFrame([(start,)], "part string")
-
-    def closed(seed: DataFrame, a: str, b: str) -> DataFrame:
-        seen, front = seed, seed
-        while True:
-            nxt = front.join(edges.select(F.col(a).alias("part"), F.col(b).alias("to")), "part").select(F.col("to").alias("part")).distinct().join(seen, "part", "left_anti")
-            front, n, _ = cuts.write(nxt)
-            if not n:
-                return seen
-            seen = seen.union(front)
-
-    down = closed(one, "parent", "child")
-    up = closed(edges.sparkSession.createDataFrame([(end,)], "part string"), "child", "parent")
+    down = closure_of(edges, start)
+    up = closure_of(edges, end, False)
     walk, _, _ = cuts.write(edges.join(down.withColumnRenamed("part", "parent"), "parent", "left_semi").join(up.withColumnRenamed("part", "child"), "child", "left_semi").select("parent", "child"))
-    front, n, _ = cuts.write(one.select(F.array("part").alias("path")))
-    found: DataFrame | None = None
-    for links in range(1, most_links + 1):
-        if not n:
-            break
+    front, n, _ = cuts.write(edges.sparkSession.createDataFrame([([start],)], "path array<string>"))
+    found = front.limit(0).select("path", F.lit(0).alias("n_links"))
+    links, n_found = 0, 0
+    while n and n_found < most:
+        links += 1
         step = front.select("path", F.element_at("path", -1).alias("parent")).join(walk, "parent").where(~F.array_contains("path", F.col("child"))).select(F.concat("path", F.array("child")).alias("path"))
         grown, _, _ = cuts.write(step)
-        done = grown.where(F.element_at("path", -1) == end).select("path", F.lit(links).alias("n_links"))
-        found = done if found is None else found.unionByName(done)
+        done, n_done, _ = cuts.write(grown.where(F.element_at("path", -1) == end).select("path", F.lit(links).alias("n_links")))
+        if n_done:
+            found, n_found = found.unionByName(done), n_found + n_done
         front, n, _ = cuts.write(grown.where(F.element_at("path", -1) != end))
-        if found.limit(most).count() >= most:
-            break
     return found.orderBy("n_links", "path").limit(most)
 
 
@@ -146,6 +148,19 @@ def simple_cycles(h: Hierarchy) -> DataFrame:
     return found
 
 
+def page(h: Hierarchy, edges: DataFrame, parts: DataFrame, part: str, most_levels: int = 3) -> tuple[DataFrame, DataFrame]:
+    """((id, description, lifecycle_status, category, in_cycle), (parent, child, level, quantity_per)): a part's structure to some levels, with what its parts are.
+
+    Parts that the master doesn't have are shown without attributes.
+    """
+    shown, _, _ = Cuts(h.spark, "page").write(expansion(h, edges, part, most_levels))
+    ids = shown.select(F.inline(F.array(F.struct(F.col("parent").alias("id")), F.struct(F.col("child").alias("id"))))).union(h.spark.createDataFrame([(part,)], "id string")).distinct()
+    attributes = parts.select(F.col("part_key").alias("id"), "description", "lifecycle_status", "category")
+    looped = h.cycles().select(F.col("part").alias("id"), F.lit(True).alias("in_cycle"))
+    nodes = ids.join(attributes, "id", "left").join(looped, "id", "left").withColumn("in_cycle", F.coalesce("in_cycle", F.lit(False)))
+    return nodes, shown
+
+
 def criticality(reached: DataFrame, edges: DataFrame, demand: DataFrame) -> DataFrame:
     """(part, affected_assemblies, direct_parent_count, demand_exposed, criticality_score) of every part of the graph.
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partloom.operators import graph
 from partloom.operators.hierarchy import Hierarchy
+from partloom.session import Cuts
 
 #: fixed values: weights of the priority
 WEIGHTS = {"assemblies": 2.0, "demand": 0.01, "inventory": 0.001, "orders": 0.001, "production": 3.0, "single_source": 10.0}
@@ -35,9 +38,43 @@ def blast_radius(reached: DataFrame, edges: DataFrame, depth: DataFrame, parts:
     below = reached.groupBy("part").agg(F.count(F.lit(1)).alias("downstream_components"))
     single = graph.concentration(reached, edges, supplied).select("part", "single_source_ratio")
     out = sums.join(n_sup, "part", "left").join(below, "part", "left").join(depth.select("part", F.col("depth").alias("dependency_depth")), "part", "left").join(single, "part", "left").na.fill(0, ["suppliers_affected", "downstream_components", "dependency_depth"])
-    d = lambda c: F.col(c).cast("double")
-    score = F.col("affected_parent_assemblies") * WEIGHTS["assemblies"] + d("future_demand_qty_exposed") * WEIGHTS["demand"] + d("inventory_value_exposed") * WEIGHTS["inventory"] + d("po_value_exposed") * WEIGHTS["orders"] + F.col("production_orders_affected") * WEIGHTS["production"]
-    return out.withColumn("operational_priority", F.round(score + F.when(F.col("single_source_ratio") > 0.5, WEIGHTS["single_source"]).otherwise(0.0), 2))
+    # in decimals, so that rounding doesn't depend on the order of the terms
+    d = lambda c, w: F.col(c).cast("decimal(20,2)") * F.lit(str(w)).cast("decimal(5,3)")
+    score = d("affected_parent_assemblies", WEIGHTS["assemblies"]) + d("future_demand_qty_exposed", WEIGHTS["demand"]) + d("inventory_value_exposed", WEIGHTS["inventory"]) + d("po_value_exposed", WEIGHTS["orders"]) + d("production_orders_affected", WEIGHTS["production"])
+    return out.withColumn("operational_priority", F.round(score + F.when(F.col("single_source_ratio") > 0.5, F.lit(str(WEIGHTS["single_source"])).cast("decimal(5,3)")).otherwise(F.lit(0).cast("decimal(5,3)")), 2).cast("double"))
+
+
+def radius_of(part: str, links: DataFrame, parts: DataFrame, demand: DataFrame, inventory: DataFrame, orders: DataFrame, production: DataFrame, supplied: DataFrame) -> DataFrame:
+    """The row of blast_radius of one part, from what is above and below it only; no row if no link has the part."""
+    edges, _, _ = Cuts(links.sparkSession, "radius").write(graph.edges_of(links))
+    above = graph.closure_of(edges, part, False).select(F.col("part").alias("part"), F.lit(part).alias("below"))
+    below = graph.closure_of(edges, part).select(F.lit(part).alias("part"), F.col("part").alias("below"))
+    reached = above.unionByName(below).where("part <> below").distinct()
+    tree = edges.join(below.select(F.col("below").alias("parent")), "parent", "left_semi")
+    h = Hierarchy(tree.select("parent", "child"))
+    depth = graph.depths(h, reached)
+    mine = edges.where((F.col("parent") == part) | (F.col("child") == part))
+    return blast_radius(reached, mine, depth, parts, demand, inventory, orders, production, supplied).where(F.col("part") == part)
+
+
+def merge_impact(duplicate: str, survivor: str, links: DataFrame, supplied: DataFrame, **facts: DataFrame) -> DataFrame:
+    """(moment, ...): what the survivor of a merge affects before and after it; facts: parts, demand, inventory, orders, production."""
+    new_links, new_supplied = merged(links, supplied, duplicate, survivor)
+    at = lambda moment, ls, sup: radius_of(survivor, ls, supplied=sup, **facts).select(F.lit(moment).alias("moment"), "*")
+    return at("before", links, supplied).unionByName(at("after", new_links, new_supplied))
+
+
+def keep_scenario(report: DataFrame, kind: str, parameters: dict[str, str], folder: str) -> str:
+    """The report of a what-if change, appended to the table of scenarios in the folder as one row of JSON; gives its id. Approval is always required."""
+    scenario = "SCN-" + uuid.uuid4().hex[:12]
+    row = report.select(F.to_json(F.struct("*")).alias("result")).agg(F.to_json(F.sort_array(F.collect_list("result"))).alias("result"))
+    row.select(F.lit(scenario).alias("scenario_id"), F.lit(kind).alias("scenario_type"), F.to_json(F.create_map(*[F.lit(x) for kv in sorted(parameters.items()) for x in kv])).alias("parameters"), "result", F.lit(True).alias("approval_required")).write.mode("append").parquet(folder)
+    return scenario
+
+
+def kept_scenario(spark: SparkSession, folder: str, scenario_id: str) -> DataFrame:
+    """The kept scenario of an id."""
+    return spark.read.parquet(folder).where(F.col("scenario_id") == scenario_id)
 
 
 def merged(links: DataFrame, supplied: DataFrame, duplicate: str, survivor: str) -> tuple[DataFrame, DataFrame]:

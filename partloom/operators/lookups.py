@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from partloom.functions.keys import key
+from partloom.operators import survivorship
 from partloom.operators.marts import is_open
 
 #: columns by which pages may be sorted, and the largest page
@@ -103,11 +105,60 @@ def measures(issues: DataFrame, part_quality: DataFrame) -> DataFrame:
     n_if = lambda c: F.count(F.when(F.expr(c), 1))
     a = issues.agg(
         n_if("status not in ('CLOSED', 'REJECTED')").alias("open_issues"), n_if("status not in ('CLOSED', 'REJECTED') and severity = 'critical'").alias("critical_open"), n_if("status not in ('CLOSED', 'REJECTED') and severity = 'high'").alias("high_open"),
-        F.count(F.lit(1)).alias("all_issues"), F.round(F.try_divide(n_if("status = 'CLOSED'"), F.count(F.lit(1))), 6).alias("resolution_rate")).withColumn("_1", F.lit(1))
+        F.count(F.lit(1)).alias("all_issues"), F.round(F.try_divide(n_if("status in ('APPROVED', 'CLOSED')"), F.count(F.lit(1))), 6).alias("resolution_rate")).withColumn("_1", F.lit(1))
     b = part_quality.agg(F.round(F.avg("quality_score").cast("double"), 4).alias("avg_part_score"), n_if("quality_score < 60").alias("parts_below_60"), F.count(F.lit(1)).alias("parts")).withColumn("_1", F.lit(1))
     return a.join(b, "_1").drop("_1")
 
 
-def allowed_moves(status: str) -> tuple[str, ...]:
-    """Statuses an issue may move to by a decision."""
-    return {"DETECTED": ("PENDING_REVIEW", "APPROVED", "REJECTED"), "PENDING_REVIEW": ("APPROVED", "REJECTED"), "APPROVED": ("CLOSED",)}.get(status, ())
+def counts(parts: DataFrame, issues: DataFrame) -> DataFrame:
+    """(metric, n): the number of parts, and of issues by status."""
+    by_status = issues.groupBy(F.concat(F.lit("issues_"), F.lower("status")).alias("metric")).agg(F.count(F.lit(1)).alias("n"))
+    return parts.agg(F.lit("parts").alias("metric"), F.count(F.lit(1)).alias("n")).unionByName(by_status)
+
+
+def sources(raw_parts: DataFrame) -> DataFrame:
+    """(part_key, source_system, source_part_number, first_seen, last_seen, n_rows): under which numbers each part came from its sources; null numbers and sources are values of their own."""
+    rows = raw_parts.select(key("part_id").alias("part_key"), "source_system", "source_part_number", F.col("_ingested_at").alias("t")).where("part_key is not null")
+    return rows.groupBy("part_key", "source_system", "source_part_number").agg(F.min("t").alias("first_seen"), F.max("t").alias("last_seen"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def clusters(parts: DataFrame) -> DataFrame:
+    """parts with entity_id and part_id: all parts of one normal part number are one entity; a part without letter or digit in its number is an entity of its own."""
+    number = F.nullif(F.col("part_number_normalized"), F.lit(""))
+    return parts.withColumn("entity_id", F.coalesce(F.concat(F.lit("N"), number), F.concat(F.lit("K"), F.col("part_key")))).withColumn("part_id", F.col("part_key"))
+
+
+def lineage(parts: DataFrame) -> DataFrame:
+    """(entity_id, field_name, selected_value, source_record, source_system, reason, confidence, n_members): for each cluster of parts the surviving values and where they come from.
+
+    Ranks are found by aggregates and joined to nothing but their cluster, so a cluster of any size is never one row.
+    """
+    rows = clusters(parts)
+    size = rows.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_members"))
+    return survivorship.winners(rows).join(size, "entity_id")
+
+
+def report_measures(executive: DataFrame, part_quality: DataFrame, bom: DataFrame, impact: DataFrame, suppliers: DataFrame, remediation: DataFrame, governance: DataFrame) -> DataFrame:
+    """(measure, value): the measures of the reports over the seven marts; a share of nothing is null, averages weigh every mart row alike."""
+    n_if = lambda c: F.count(F.when(F.expr(c), 1))
+    total = lambda c, when="true": F.coalesce(F.sum(F.when(F.expr(when), F.col(c))), F.lit(0))
+    open_ = "status not in ('CLOSED', 'REJECTED')"
+    weight = F.when(F.col("severity") == "critical", 8.0).when(F.col("severity") == "high", 4.0).when(F.col("severity") == "medium", 1.5).otherwise(0.5)
+    approve, reject = total("decisions", "upper(decision) = 'APPROVE'"), total("decisions", "upper(decision) = 'REJECT'")
+    ratio = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
+    sets = [
+        (executive, {"open_issues": total("issue_count", open_), "critical_open_issues": total("issue_count", f"{open_} and severity = 'critical'"), "high_open_issues": total("issue_count", f"{open_} and severity = 'high'"), "issues_detected": total("issue_count"),
+                     "issue_resolution_rate": ratio(total("issue_count", "status in ('APPROVED', 'CLOSED')"), total("issue_count")), "_points": F.coalesce(F.sum(F.col("issue_count") * weight), F.lit(0.0))}),
+        (part_quality, {"avg_part_quality_score": F.avg(F.col("quality_score").cast("double")), "parts_below_quality_threshold": n_if("quality_score < 60"), "_parts": F.count(F.lit(1))}),
+        (bom, {"avg_bom_quality_score": F.avg(F.col("bom_quality_score").cast("double")), "assemblies_with_obsolete_components": n_if("obsolete_components > 0"), "assemblies_with_missing_components": n_if("missing_components > 0"), "total_bom_relationships": total("component_count")}),
+        (impact, {"inventory_value_exposed": total("inventory_value", "open_issues > 0"), "total_inventory_value": total("inventory_value"), "demand_qty_exposed": total("future_demand_qty", "open_issues > 0"), "open_po_value_exposed": total("open_po_value", "open_issues > 0"),
+                  "exposure_share_of_inventory": ratio(total("inventory_value", "open_issues > 0"), total("inventory_value")), "parts_with_critical_exposure": n_if("critical_issues > 0")}),
+        (suppliers, {"suppliers_with_open_issues": n_if("open_issues_on_parts > 0"), "avg_supplier_lead_time": F.avg(F.col("avg_lead_time_days").cast("double"))}),
+        (remediation, {"decisions_made": total("decisions"), "approvals": approve, "rejections": reject, "acceptance_rate": ratio(approve, approve + reject)}),
+        (governance, {"ai_calls": total("calls"), "ai_abstention_rate": ratio(total("abstentions"), total("calls")), "ai_validation_failure_rate": ratio(total("validation_failures"), total("calls")), "ai_avg_latency_ms": F.avg(F.col("avg_latency_ms").cast("double")), "ai_avg_confidence": F.avg(F.col("avg_confidence").cast("double"))}),
+    ]
+    rows = [df.agg(*[v.cast("double").alias(k) for k, v in cols.items()]).select(F.inline(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("value")) for k in cols]))) for df, cols in sets]
+    every = reduce(DataFrame.unionByName, rows)
+    pick = lambda n: F.max(F.when(F.col("measure") == n, F.col("value")))
+    score = every.agg(F.lit("enterprise_quality_score").alias("measure"), F.greatest(F.lit(0.0), 100 - F.try_divide(pick("_points"), pick("_parts")) * 100 / 8).alias("value"))
+    return every.where("measure not like '\\_%'").unionByName(score).withColumn("value", F.round("value", 4))

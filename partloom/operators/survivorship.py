@@ -59,6 +59,20 @@ def decide(members: DataFrame, numbers_agree: bool = True) -> DataFrame:
     return per.select("entity_id", "field_name", F.col("best.value").alias("selected_value"), F.col("best.part_id").alias("source_record"), F.col("best.source_system").alias("source_system"), reason.alias("reason"), F.round(F.least(F.lit(1.0), top * (0.7 + F.least(F.lit(0.3), margin))), 4).alias("confidence"), others.alias("alternatives"))
 
 
+def winners(members: DataFrame, numbers_agree: bool = True) -> DataFrame:
+    """(entity_id, field_name, selected_value, source_record, source_system, reason, confidence): as decide, without the alternatives, by aggregates only, so entities may be of any size."""
+    s = scored(members, numbers_agree)
+    best = F.min(F.struct((-F.col("score")).alias("minus"), "part_id", "value", "source_system", "agreement", "bonus"))
+    top = s.groupBy("entity_id", "field_name").agg(best.alias("best"), F.count(F.lit(1)).alias("n"))
+    mine = (-F.col("best.minus")).cast("double")
+    rank = s.join(top, ["entity_id", "field_name"]).where(F.struct((-F.col("score")).alias("minus"), "part_id", "value", "source_system", "agreement", "bonus") > F.col("best"))
+    second = rank.groupBy("entity_id", "field_name").agg(F.max("score").cast("double").alias("next"))
+    both = top.join(second, ["entity_id", "field_name"], "left")
+    margin = F.when(F.col("next").isNotNull(), mine - F.col("next")).otherwise(mine)
+    reason = F.concat_ws(" + ", F.concat(F.lit("source_reliability("), "best.source_system", F.lit(")")), F.when(F.col("best.agreement") > 0.5, F.concat(F.lit("cross_source_agreement("), F.round(F.col("best.agreement") * 100).cast("int").cast("string"), F.lit("%)"))), F.when(F.col("best.bonus") > 0, F.concat(F.lit("domain_preference("), "field_name", F.lit(")"))))
+    return both.select("entity_id", "field_name", F.col("best.value").alias("selected_value"), F.col("best.part_id").alias("source_record"), F.col("best.source_system").alias("source_system"), reason.alias("reason"), F.round(F.least(F.lit(1.0), mine * (0.7 + F.least(F.lit(0.3), margin))), 4).alias("confidence"))
+
+
 def flat(decisions: DataFrame) -> DataFrame:
     """One row per entity with the selected value of every governed field."""
     return decisions.groupBy("entity_id").agg(*[F.max(F.when(F.col("field_name") == f, F.col("selected_value"))).alias(f) for f in FIELDS])

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partloom.plans import extras, problems, problems_sql, quality, records, structure
+from partloom.plans import desk, extras, problems, problems_sql, quality, records, structure
 
-_PARTS = [(problems.QUERIES, problems_sql.ORACLES), (quality.QUERIES, quality.ORACLES), (structure.QUERIES, structure.ORACLES), (records.QUERIES, records.ORACLES), (extras.QUERIES, extras.ORACLES)]
+_PARTS = [(problems.QUERIES, problems_sql.ORACLES), (quality.QUERIES, quality.ORACLES), (structure.QUERIES, structure.ORACLES), (records.QUERIES, records.ORACLES), (desk.QUERIES, desk.ORACLES), (extras.QUERIES, extras.ORACLES)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

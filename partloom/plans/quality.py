@@ -10,33 +10,43 @@ from pyspark.sql import functions as F
 
 from partloom.operators import lookups, marts, rules, scoring, staging
 from partloom.plans.core_sql import issues_sql, rule_sql, with_tables
-from partloom.session import Cuts
 from partloom.sources.binding import STATUSES, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: the tables that many rules read
+CORE = ("dim_part", "fact_bom", "supplier_part", "fact_cost")
 
 
 def add(name: str, build: Callable[[Tables], DataFrame], sql: str | None = None, **more) -> None:
-    QUERIES[name] = lambda spark, d: build(Tables(spark, d))
+    on_issues = "issues" in more.get("more", {})  # these read the core tables as they were stored for the rules
+    QUERIES[name] = lambda spark, d: build(Tables(spark, d).stored(*CORE) if on_issues else Tables(spark, d))
     if sql is not None:
         ORACLES[name] = with_tables(sql, **more)
 
 
+def violations_of(t: Tables) -> DataFrame:
+    """The violations of all enabled rules, found once for the session."""
+
+    def build() -> DataFrame:
+        found, failed = rules.run(t.stored(*CORE))
+        if failed:
+            raise RuntimeError(f"rules failed: {failed}")
+        return found
+
+    return t.kept("violations", build)
+
+
 def issues_of(t: Tables, chosen: list[str] | None = None) -> DataFrame:
-    """The issues of all enabled rules (or of the chosen ones), found once, that scores and marts are computed on; some closed or rejected, by the last character of their key."""
-    if "issues" in t.__dict__ and chosen is None:
-        return t.__dict__["issues"]
-    todo = [r for r in rules.RULES if chosen is None or r.rule_id in chosen]
-    found, failed = rules.run(t.stored("dim_part", "fact_bom", "supplier_part", "fact_cost") if chosen is None else t.stored("dim_part", "fact_bom"), todo)
-    if failed:
-        raise RuntimeError(f"rules failed: {failed}")
+    """The issues of all enabled rules (or of the chosen ones), that scores and marts are computed on; some closed or rejected, by the last character of their key."""
+    if chosen is not None:
+        return _with_status(violations_of(t).where(F.col("rule_id").isin(chosen)))
+    return t.kept("issues", lambda: _with_status(violations_of(t)))
+
+
+def _with_status(found: DataFrame) -> DataFrame:
     code = F.ascii(F.right("entity_key", F.lit(1))) % 5
-    out = rules.issues(found, "run-1").withColumn("status", F.when(code == 0, "CLOSED").when(code == 1, "REJECTED").otherwise("DETECTED"))
-    out = Cuts(t.spark, "issues").write(out)[0]
-    if chosen is None:
-        t.__dict__["issues"] = out
-    return out
+    return rules.issues(found, "run-1").withColumn("status", F.when(code == 0, "CLOSED").when(code == 1, "REJECTED").otherwise("DETECTED"))
 
 
 def decisions_of(t: Tables) -> DataFrame:
@@ -94,8 +104,7 @@ for _r in rules.RULES:
 
 
 def _run_counts(t: Tables) -> DataFrame:
-    found, failed = rules.run(t.stored("dim_part", "fact_bom", "supplier_part", "fact_cost"))
-    return rules.executions(found, failed, "run-1")
+    return rules.executions(violations_of(t), [], "run-1")
 
 
 add("dq_run_executions", _run_counts, "select 'run-1' run_id, r.rule_id, '1.0' rule_version, count(f.rule_id) violations, 'OK' status from (values " + ", ".join(f"('{r.rule_id}')" for r in rules.RULES) + ") r(rule_id) left join found f using (rule_id) group by r.rule_id", **_I)
@@ -140,7 +149,7 @@ add("api_top_rules", lambda t: lookups.top_rules(issues_of(t)), f"select rule_id
 add("api_business_impact", lambda t: lookups.impact_totals(_impact(t), issues_of(t)), f"select cast(sum(inventory_value) as decimal(18, 2)) inventory_value, cast(sum(future_demand_qty) as decimal(18, 2)) future_demand_qty, cast(sum(open_po_value) as decimal(18, 2)) open_po_value, (select count(distinct entity_key) from issues where {_OPEN} and severity = 'critical') critical_entities from ({_IMPACT})", **_I)
 add("api_remediation", lambda t: lookups.decision_totals(decisions_of(t)), "select decision, count(*) n, round(count(*) / sum(count(*)) over (), 6) share from decisions group by 1", **_D)
 add("api_governance", lambda t: lookups.call_totals(t.call_audit), "select count(*) calls, round(avg(abstained::int), 6) abstention_rate, round(avg((validation_result = 'valid')::int), 6) valid_rate, round(cast(sum(latency_ms) as double) / count(*), 3) avg_latency_ms, round(avg(confidence), 6) avg_confidence from call_audit")
-add("bi_measures", lambda t: lookups.measures(issues_of(t), marts.part_quality(t.dim_part, scoring.entity_scores(issues_of(t), t.dim_part), issues_of(t))), f"select a.*, b.* from (select count(*) filter ({_OPEN}) open_issues, count(*) filter ({_OPEN} and severity = 'critical') critical_open, count(*) filter ({_OPEN} and severity = 'high') high_open, count(*) all_issues, round(count(*) filter (status = 'CLOSED') / count(*), 6) resolution_rate from issues) a, (select round(cast(sum(q) as double) / count(*), 4) avg_part_score, count(*) filter (q < 60) parts_below_60, count(*) parts from (select coalesce(quality_score, 100) q from dim_part left join (select * from entity_scores where entity_type = 'part') s on s.entity_key = part_key)) b", **_E)
+add("bi_measures", lambda t: lookups.measures(issues_of(t), marts.part_quality(t.dim_part, scoring.entity_scores(issues_of(t), t.dim_part), issues_of(t))), f"select a.*, b.* from (select count(*) filter ({_OPEN}) open_issues, count(*) filter ({_OPEN} and severity = 'critical') critical_open, count(*) filter ({_OPEN} and severity = 'high') high_open, count(*) all_issues, round(count(*) filter (status in ('APPROVED', 'CLOSED')) / count(*), 6) resolution_rate from issues) a, (select round(cast(sum(q) as double) / count(*), 4) avg_part_score, count(*) filter (q < 60) parts_below_60, count(*) parts from (select coalesce(quality_score, 100) q from dim_part left join (select * from entity_scores where entity_type = 'part') s on s.entity_key = part_key)) b", **_E)
 add("lookup_obsolete_by_demand", lambda t: lookups.obsolete_by_demand(t.dim_part, t.fact_demand), "select part_key, description, cast(sum(demand_qty) as decimal(18, 2)) demand_qty from dim_part join fact_demand using (part_key) where lifecycle_status = 'OBSOLETE' group by 1, 2 order by 3 desc, 1 limit 10")
 add("lookup_supplier_exposure", lambda t: lookups.supplier_exposure(t.supplier_part, issues_of(t)), f"select supplier_id, count(distinct issue_id) issues, count(distinct part_id) parts from supplier_part join (select * from issues where {_OPEN}) on entity_key = part_id where supplier_id is not null group by 1 order by 2 desc, 1 limit 10", **_I)
 add("lookup_plant_issues", lambda t: lookups.plant_issues(t.dim_part, issues_of(t), "PL02"), "select entity_key, rule_id, severity, issue_id from issues join dim_part on part_key = entity_key where primary_plant = 'PL02' and severity in ('critical', 'high') order by severity, issue_id limit 15", **_I)

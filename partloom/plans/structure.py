@@ -11,7 +11,6 @@ from partloom.operators import graph, impact
 from partloom.operators.hierarchy import Hierarchy
 from partloom.operators.stars import weak_groups
 from partloom.plans.core_sql import with_tables
-from partloom.session import Cuts
 from partloom.sources.binding import UOMS, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,13 +33,21 @@ def add(name: str, build: Callable[[Tables], DataFrame], sql: str | None = None,
 
 
 def _edges(t: Tables) -> DataFrame:
-    return Cuts(t.spark, "edges").write(graph.edges_of(t.fact_bom))[0]
+    return t.kept("edges", lambda: graph.edges_of(t.fact_bom))
 
 
-def _reach(t: Tables) -> tuple[DataFrame, Hierarchy, DataFrame]:
+def _hierarchy(t: Tables) -> Hierarchy:
+    return Hierarchy(_edges(t).select("parent", "child"))
+
+
+def _reach(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The edges, and all pairs of a part and one below it, found once for the session."""
     e = _edges(t)
-    h = Hierarchy(e.select("parent", "child"))
-    return e, h, Cuts(t.spark, "reach").write(graph.reach(h))[0]
+    return e, t.kept("reach", lambda: graph.reach(_hierarchy(t)))
+
+
+def _depth(t: Tables) -> DataFrame:
+    return t.kept("depth", lambda: graph.depths(_hierarchy(t), _reach(t)[1]))
 
 
 def _first(t: Tables, n: int) -> list[str]:
@@ -50,40 +57,35 @@ def _first(t: Tables, n: int) -> list[str]:
 
 _FIRST = "(select parent from edges group by 1 order by 1 limit 1)"
 
-add("graph_edges", lambda t: graph.edges_of(t.fact_bom), "select parent, child, quantity_per from edges")
-add("graph_degree", lambda t: graph.degrees(graph.edges_of(t.fact_bom)), "select part, cast(n_in as bigint) n_in, cast(n_out as bigint) n_out from deg")
-add("graph_roots", lambda t: graph.roots(graph.edges_of(t.fact_bom)), "select part from deg where n_in = 0")
-add("graph_leaves", lambda t: graph.leaves(graph.edges_of(t.fact_bom)), "select part from deg where n_out = 0")
-add("graph_self_loops", lambda t: graph.self_loops(graph.edges_of(t.fact_bom)), "select parent part from edges where parent = child")
-add("graph_orphans", lambda t: graph.unknown_parts(graph.edges_of(t.fact_bom), t.dim_part), "select part, case when n_out > 0 then 'missing_parent' else 'missing_child' end as role from deg where part not in (select part_key from dim_part)")
-add("graph_centrality", lambda t: graph.centrality(graph.edges_of(t.fact_bom)), "select part, round(cast(n_in + n_out as double) / greatest((select count(*) from deg) - 1, 1), 6) centrality from deg")
-add("graph_descendants", lambda t: _reach(t)[2].select("part", "below"), "select part, below from reached", _REACH, True)
-add("graph_ancestors", lambda t: _reach(t)[2].select(F.col("below").alias("part"), F.col("part").alias("above")), "select below part, part above from reached", _REACH, True)
+add("graph_edges", lambda t: _edges(t), "select parent, child, quantity_per from edges")
+add("graph_degree", lambda t: graph.degrees(_edges(t)), "select part, cast(n_in as bigint) n_in, cast(n_out as bigint) n_out from deg")
+add("graph_roots", lambda t: graph.roots(_edges(t)), "select part from deg where n_in = 0")
+add("graph_leaves", lambda t: graph.leaves(_edges(t)), "select part from deg where n_out = 0")
+add("graph_self_loops", lambda t: graph.self_loops(_edges(t)), "select parent part from edges where parent = child")
+add("graph_orphans", lambda t: graph.unknown_parts(_edges(t), t.dim_part), "select part, case when n_out > 0 then 'missing_parent' else 'missing_child' end as role from deg where part not in (select part_key from dim_part)")
+add("graph_centrality", lambda t: graph.centrality(_edges(t)), "select part, round(cast(n_in + n_out as double) / greatest((select count(*) from deg) - 1, 1), 6) centrality from deg")
+add("graph_descendants", lambda t: _reach(t)[1].select("part", "below"), "select part, below from reached", _REACH, True)
+add("graph_ancestors", lambda t: _reach(t)[1].select(F.col("below").alias("part"), F.col("part").alias("above")), "select below part, part above from reached", _REACH, True)
 
 
 def _counts(t: Tables) -> DataFrame:
-    e, _, r = _reach(t)
+    e, r = _reach(t)
     return graph.reach_counts(r, e)
 
 
 add("graph_reach_counts", _counts, "select part, cast((select count(*) from reached r where r.below = d.part) as bigint) n_above, cast((select count(*) from reached r where r.part = d.part) as bigint) n_below from deg d", _REACH, True)
 
 
-def _depths(t: Tables) -> DataFrame:
-    _, h, r = _reach(t)
-    return graph.depths(h, r)
-
-
 _LOOPS = _REACH | {
     "cyc": "select part from walk where part = below",
     "endless": "select part from walk where below in (select part from cyc) union select part from cyc",
     "chain(part, n)": "select part, 0 from deg where part not in (select part from endless) union select e.parent, c.n + 1 from chain c join edges e on e.child = c.part where e.parent not in (select part from endless)",
 }
 _DEPTH = "select part, cast(max(n) as bigint) depth, false endless from chain group by 1 union all select part, (select count(*) from reached r where r.part = e.part), true from endless e"
-add("graph_depth", _depths, _DEPTH, _LOOPS, True)
+add("graph_depth", _depth, _DEPTH, _LOOPS, True)
 add("graph_expand", lambda t: (lambda e: graph.expansion(Hierarchy(e.select("parent", "child")), e, _first(t, 1)[0]))(_edges(t)), f"select parent, child, cast(lvl + 1 as bigint) as level, quantity_per from (select part, min(lvl) lvl from tree group by 1) join edges on parent = part", {"edges": _EDGES, "tree(part, lvl)": f"select * from (select x.parent, 0 from {_FIRST} x) union select e.child, lvl + 1 from tree join edges e on e.parent = part where lvl < 60"}, True)
 add("graph_weak_groups", lambda t: weak_groups(_edges(t).select("parent", "child")), "select min(other) group_key, part from meet group by 2", {"edges": _EDGES, "ends_": "select parent a, child b from edges union select child, parent from edges", "meet(part, other)": "select a, a from ends_ union select m.part, x.b from meet m join ends_ x on x.a = m.other"}, True)
-add("graph_cycles", lambda t: graph.simple_cycles(Hierarchy(_edges(t).select("parent", "child"))).select(F.array_join("cycle", ">").alias("cycle"), "n_links"), "select array_to_string(path, '>') as cycle, cast(len(path) as int) n_links from run join edges e on e.parent = path[-1] and e.child = path[1]", {"edges": _EDGES, "run(path)": "select [parent, child] from edges where child > parent union all select list_append(path, e.child) from run join edges e on e.parent = path[-1] where e.child > path[1] and not list_contains(path, e.child) and len(path) < 12"}, True)
+add("graph_cycles", lambda t: graph.simple_cycles(_hierarchy(t)).select(F.array_join("cycle", ">").alias("cycle"), "n_links"), "select array_to_string(path, '>') as cycle, cast(len(path) as int) n_links from run join edges e on e.parent = path[-1] and e.child = path[1]", {"edges": _EDGES, "run(path)": "select [parent, child] from edges where child > parent union all select list_append(path, e.child) from run join edges e on e.parent = path[-1] where e.child > path[1] and not list_contains(path, e.child) and len(path) < 12"}, True)
 
 
 def _paths(t: Tables) -> DataFrame:
@@ -98,7 +100,7 @@ add("graph_paths", _paths)
 
 
 def _criticality(t: Tables) -> DataFrame:
-    e, _, r = _reach(t)
+    e, r = _reach(t)
     return graph.criticality(r, e, t.fact_demand)
 
 
@@ -108,7 +110,7 @@ add("graph_criticality", _criticality, """select part, cast(n - 1 as bigint) aff
 
 
 def _concentration(t: Tables) -> DataFrame:
-    e, _, r = _reach(t)
+    e, r = _reach(t)
     return graph.concentration(r, e, t.supplier_part)
 
 
@@ -132,12 +134,12 @@ def _production(t: Tables) -> DataFrame:
 
 
 def _impact(t: Tables) -> DataFrame:
-    e, h, r = _reach(t)
-    return impact.blast_radius(r, e, graph.depths(h, r), t.dim_part, t.fact_demand, t.fact_inventory, t.fact_order, _production(t), t.supplier_part)
+    e, r = _reach(t)
+    return impact.blast_radius(r, e, _depth(t), t.dim_part, t.fact_demand, t.fact_inventory, t.fact_order, _production(t), t.supplier_part)
 
 
 _SUM = lambda t, c, n: f"(select part_key a, cast(sum({c}) as decimal(18, 2)) {n} from {t} group by 1)"
-add("impact_blast_radius", _impact, f"""select *, round(affected_parent_assemblies * 2.0e0 + cast(future_demand_qty_exposed as double) * 0.01e0 + cast(inventory_value_exposed as double) * 0.001e0 + cast(po_value_exposed as double) * 0.001e0 + production_orders_affected * 3.0e0 + case when single_source_ratio > 0.5 then 10.0e0 else 0.0e0 end, 2) operational_priority from
+add("impact_blast_radius", _impact, f"""select *, cast(round(cast(affected_parent_assemblies * 2 as decimal(30, 5)) + cast(future_demand_qty_exposed as decimal(24, 2)) * 0.010 + cast(inventory_value_exposed as decimal(24, 2)) * 0.001 + cast(po_value_exposed as decimal(24, 2)) * 0.001 + cast(production_orders_affected * 3 as decimal(30, 5)) + case when single_source_ratio > 0.5 then 10 else 0 end, 2) as double) operational_priority from
     (select part, count(*) - 1 affected_parent_assemblies, cast(coalesce(sum(dem), 0) as decimal(18, 2)) future_demand_qty_exposed, cast(coalesce(sum(inv), 0) as decimal(18, 2)) inventory_value_exposed, cast(coalesce(sum(po), 0) as decimal(18, 2)) po_value_exposed, cast(coalesce(sum(standard_cost), 0) as decimal(18, 2)) estimated_cost_exposure,
       cast(coalesce(sum(made), 0) as bigint) production_orders_affected, count(distinct primary_plant) plants_affected
      from aff left join {_SUM('fact_demand', 'demand_qty', 'dem')} using (a) left join {_SUM('fact_inventory', 'on_hand_value', 'inv')} using (a) left join {_SUM('fact_order', 'line_value', 'po')} using (a)

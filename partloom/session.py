@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: dict[str, str] = {}
+#: tables kept for the session, by application, folder, state of the folder's files and name
+_kept: dict[tuple[str, str, str, str], str] = {}
 
 
 def get_session(app: str = "partloom", **conf: str) -> SparkSession:
@@ -80,3 +83,28 @@ class Cuts:
         jvm = self.spark._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def state_of(spark: SparkSession, folder: str) -> str:
+    """A text that changes whenever a file of the folder does: names, lengths and times of all files below it."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+    seen = []
+    while files.hasNext():
+        f = files.next()
+        seen.append(f"{f.getPath().toString()}|{f.getLen()}|{f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()
+
+
+def kept(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table `name` over the files of a folder, built and written to the shared folder on first use and read from there later in the session.
+
+    A change of any of the folder's files builds it anew.
+    """
+    at = (spark.sparkContext.applicationId, folder, state_of(spark, folder), name)
+    if at not in _kept:
+        table, _, path = Cuts(spark, "kept").write(build())
+        _kept[at] = path
+        return table
+    return spark.read.parquet(_kept[at])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partloom.operators import staging
-from partloom.session import Cuts
+from partloom.session import Cuts, kept
 from partloom.sources.tables import table
 
 #: fixed values: governed units of measure, currencies and statuses
@@ -34,18 +34,24 @@ class Tables:
     """Core tables of one folder, each built when asked for."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self.done = spark, folder, set[str]()
 
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.folder, name)
 
     def stored(self, *names: str) -> Tables:
-        """These tables with the named ones written once to the shared folder, for work that reads them many times."""
+        """These tables with the named ones written once to the shared folder, for work that reads them many times; those of a folder of files serve the whole session."""
         cuts = Cuts(self.spark, "core")
         for name in names:
-            self.__dict__[name] = cuts.write(getattr(self, name))[0]
+            if name not in self.done:
+                self.__dict__[name] = kept(self.spark, self.folder, name, lambda: getattr(self, name)) if self.folder else cuts.write(getattr(self, name))[0]
+                self.done.add(name)
         return self
 
+    def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table that rests on these, built once for the session."""
+        return kept(self.spark, self.folder, name, build)
+
     @cached_property
     def dim_part(self) -> DataFrame:
         return staging.parts(self.raw("part_master"))
