@@ -31,7 +31,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_matches(spark: SparkSession, d: str) -> DataFrame:
-    """All mutual-nearest pairs with their confidence."""
+    """All matches with their confidence: pairs of one item, and the nearest of those that have none, between the representatives of what is alike."""
     return entity_match.matches(table(spark, d, "part_master"))
 
 
