@@ -3,8 +3,12 @@
 Method: template canonicalisation. Numbers, names and units become typed placeholders; windows of consecutive template
 words of the passages are joined by hash with those of the documents; where a template window meets, the slots are
 compared: equal words in all slots are a verbatim stretch, slots changed the same way throughout are a
-re-parameterised one. The passages are few and of checked size, so their windows are held by every task and each
-document is read once, where it lies; only documents that meet a window leave the scan.
+re-parameterised one. The windows of the passages are held by every task as one sorted table of hashes, and each
+document is read where it lies; only documents that meet a window leave the scan. The passages are taken in blocks
+of bounded size, one scan of the documents for each, so any number of them is served.
+
+Names are learned from the passages: a word that is always written with a capital there, also inside sentences, is a name
+(not in languages that write all nouns so). In a document any word that no passage has may stand in a name's place.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 5
-#: bound of the passages' words held by every task (some 100 MB); beyond it the call fails instead of growing
-MOST_PASSAGE_WORDS = 1_000_000
+#: passage words that every task holds at a time (some 100 MB); more are taken in blocks, one scan of the documents each
+BLOCK_WORDS = 1_000_000
+#: fixed values: languages that write nouns with a capital, where it tells no name
+CAPITAL_NOUNS = ("de", "lb")
 
 # fixed values: unit words that become a placeholder in templates
 UNITS = frozenset("mm cm m km kg g mg t l ml h hr hrs min s day days tag tage día días dia dias hour hours stunden horas week weeks wochen semanas percent prozent usd eur pcs pieces nm v a w kw hz bar pa c f".split())
@@ -39,10 +46,27 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _is_slot(word: str, names: frozenset[str]) -> str | None:
-    """The placeholder of a word, None for ordinary words.
+def learned_names(passages: list[tuple[str, str | None]]) -> frozenset[str]:
+    """The names of (passage, language): words without digits that are always written with a capital first and then without one, inside sentences too."""
+    inside, plain = set(), set()
+    for text, lang in passages:
+        for m in _WORD.finditer(text):
+            w = m.group()
+            norm = words(w)
+            if len(norm) != 1 or any(c.isdigit() for c in w):
+                continue
+            named = w[0].isupper() and not w[1:].isupper() and len(w) > 1
+            if not named or (lang or "").lower() in CAPITAL_NOUNS:
+                plain.add(norm[0])
+            elif not re.search(r"(?:^|[.!?:;\n])\W*$", text[: m.start()]):
+                inside.add(norm[0])
+    return frozenset(inside - plain - UNITS)
+
+
+def _is_slot(word: str, names: frozenset[str], known: dict[str, int] | None = None) -> str | None:
+    """The placeholder of a word, None for ordinary words; known: the words of all passages, where the word is a document's.
 
-    Names are words of letters and digits and those listed; capitals say nothing, as texts come in any case.
+    Names are words of letters and digits and those listed, in a document also words that no passage has.
     """
     if word.isdigit():
         return "<number>"
@@ -50,7 +74,7 @@ def _is_slot(word: str, names: frozenset[str]) -> str | None:
         return "<name>"
     if word in UNITS:
         return "<unit>"
-    return "<name>" if word in names else None
+    return "<name>" if word in names or (known is not None and names and word not in known) else None
 
 
 class _Index:
@@ -59,8 +83,9 @@ class _Index:
     def __init__(self, items: list[tuple[int, str]], names: frozenset[str] = frozenset()):
         self.items = [(i, w) for i, w in ((i, words(p)) for i, p in items) if w]
         self.names = names
+        self.exact: dict[str, int] = {}
         self.ids: dict[str, int] = {"<number>": 1, "<name>": 2, "<unit>": 3}
-        exact: dict[str, int] = {}
+        exact = self.exact
         starts, templates, verbatim = [], [], []
         for k, (_, w) in enumerate(self.items):
             t = np.array([self._template_id(x, True) for x in w], dtype=np.uint64)
@@ -69,7 +94,6 @@ class _Index:
                 starts.append((k, j))
             templates.append(self._hashes(t))
             verbatim.append(self._hashes(v))
-        self.exact = exact
         self.starts = np.array(starts, dtype=np.int64).reshape(-1, 2)
         empty = np.zeros(0, np.uint64)
         all_t = np.concatenate(templates) if templates else empty
@@ -80,7 +104,7 @@ class _Index:
         self.template_of: dict[str, int] = {}
 
     def _template_id(self, word: str, grow: bool) -> int:
-        slot = _is_slot(word, self.names)
+        slot = _is_slot(word, self.names, None if grow else self.exact)
         return self.ids[slot] if slot else self.ids.setdefault(word, len(self.ids) + 1) if grow else self.ids.get(word, 0)
 
     @staticmethod
@@ -180,7 +204,7 @@ class _Index:
                 if equal and all(x == y for x, y in pairs):
                     same[j : j + WINDOW] = like[j : j + WINDOW] = True
                     diagonals.setdefault(p - j, []).append((j, True))
-                elif all(x == y or (_is_slot(x, self.names) and _is_slot(x, self.names) == _is_slot(y, self.names)) for x, y in pairs):
+                elif all(x == y or ((slot := _is_slot(x, self.names)) and slot == _is_slot(y, self.names, self.exact)) for x, y in pairs):
                     like[j : j + WINDOW] = True
                     diagonals.setdefault(p - j, []).append((j, False))
                     for x, y in pairs:
@@ -193,20 +217,32 @@ class _Index:
         return out
 
 
-def meetings(items: DataFrame, documents: DataFrame, names: frozenset[str] = frozenset()) -> DataFrame:
+def meetings(items: DataFrame, documents: DataFrame, names: frozenset[str] | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(item_id, doc_id, n_words, n_verbatim, n_template, n_runs, n_changed, consistent, places): one row per passage and document that share a template window.
 
     n_words: the passage's words; n_verbatim: those in runs of WINDOW or more words that stand in the document the same way;
     n_template: those in such runs up to the words in slots; n_changed: slot words of the passage that stand changed;
     consistent: each of them changed to the same word throughout; places: (template, verbatim, changed) of each place of
     the document where the passage stands changed consistently, whatever else the document holds. Null, empty and shorter texts meet nothing;
-    whole texts are read. Rows repeated in full count once.
+    whole texts are read. Rows repeated in full count once. names: instead of those learned from the passages (of each block). Passages are taken in
+    blocks of about block_words words, by a hash of their ids; a block is what reaches the driver and the tasks at a time.
     """
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "passage").where("item_id is not null and passage is not null").distinct()
+    lang = F.col("lang").cast("string") if "lang" in items.columns else F.lit(None).cast("string")
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("passage").cast("string").alias("passage"), lang.alias("lang")).where("item_id is not null and passage is not null").distinct()
     size = rows.agg(F.coalesce(F.sum(F.size(F.split("passage", r"\s+"))), F.lit(0))).first()[0]
-    if size > MOST_PASSAGE_WORDS:
-        raise ValueError(f"{size} passage words exceed the bound of {MOST_PASSAGE_WORDS}; run the passages in blocks")
-    passages = [(r[0], r[1]) for r in rows.orderBy("item_id", "passage").collect()]
+    blocks = max(1, -(-size // block_words))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    met = []
+    for k in range(blocks):
+        mine = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        passages = [(r[0], r[1], r[2]) for r in mine.orderBy("item_id", "passage").collect()]
+        known = learned_names([(p, x) for _, p, x in passages]) if names is None else names
+        met.append(_scanned([(i, p) for i, p, _ in passages], texts, known))
+    return reduce(DataFrame.unionByName, met).distinct()
+
+
+def _scanned(passages: list[tuple[int, str]], texts: DataFrame, names: frozenset[str]) -> DataFrame:
+    """The meetings of one block of passages."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _Index(passages, names)
@@ -220,8 +256,7 @@ def meetings(items: DataFrame, documents: DataFrame, names: frozenset[str] = fro
                 places = pa.array([[dict(zip(("template", "verbatim", "changed"), x)) for x in p] for p in places], PLACES)
                 yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in plain], places], names=["item_id", "doc_id", "n_words", "n_verbatim", "n_template", "n_runs", "n_changed", "consistent", "places"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").mapInArrow(
-        scan, "item_id long, doc_id long, n_words long, n_verbatim long, n_template long, n_runs long, n_changed long, consistent boolean, places array<struct<template: bigint, verbatim: bigint, changed: bigint>>").distinct()
+    return texts.mapInArrow(scan, "item_id long, doc_id long, n_words long, n_verbatim long, n_template long, n_runs long, n_changed long, consistent boolean, places array<struct<template: bigint, verbatim: bigint, changed: bigint>>")
 
 
 def leaks(met: DataFrame, share: float = 0.5) -> DataFrame:

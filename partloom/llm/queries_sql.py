@@ -40,4 +40,36 @@ groups as (select min(other) group_id, part_id from reach group by part_id)
 P6 = _P6 + "select group_id, part_id from groups"
 P6_SIZES = _P6 + "select n_parts, count(*) n_groups from (select group_id, count(*) n_parts from groups group by 1) group by 1"
 
-ORACLES = {"p1_found": P1, "p6_found": P6, "p6_sizes": P6_SIZES}
+# invisible format characters, and words: runs of letters and digits in lower case without accents
+_FORMAT = "[\\p{Cf}\\x{034F}\\x{115F}\\x{1160}\\x{17B4}\\x{17B5}\\x{180B}-\\x{180F}\\x{FE00}-\\x{FE0F}]"
+
+
+def _words(c: str) -> str:
+    return f"regexp_extract_all(lower(strip_accents(regexp_replace({c}, '{_FORMAT}', '', 'g'))), '[\\pL\\pN]+')"
+
+
+P9 = f"""
+with items as (select item_id, row_number() over () k, {_words('passage')} w from (select distinct item_id, passage from eval_item where item_id is not null and passage is not null)),
+docs as (select doc_id, {_words('text')} w from (select distinct doc_id, text from documents where doc_id is not null and text is not null)),
+iw as (select item_id, k, len(w) n, s, array_to_string(w[s:s + 4], ' ') g from (select *, unnest(generate_series(1, len(w) - 4)) s from items where len(w) > 4)),
+dw as (select distinct doc_id, array_to_string(w[s:s + 4], ' ') g from (select *, unnest(generate_series(1, len(w) - 4)) s from docs where len(w) > 4)),
+covered as (select distinct item_id, k, n, doc_id, unnest(generate_series(s, s + 4)) pos from iw join dw using (g))
+select distinct item_id, doc_id from (select item_id, k, n, doc_id, count(*) c from covered group by all) where 2 * c >= n
+"""
+
+_P10 = """
+with d as (select distinct doc_id, text from documents where doc_id is not null and length(text) >= 200),
+w as (select doc_id, i, substring(text, i, 200) x from (select doc_id, text, unnest(generate_series(1, length(text) - 199)) i from d)),
+twice as (select x from w group by x having count(distinct doc_id) > 1),
+"""
+P10 = _P10 + "hit as (select distinct doc_id from w where x in (select x from twice)) select doc_id from hit"
+P10_SPANS = _P10 + """
+starts as (select distinct doc_id, i from w where x in (select x from twice)),
+runs as (select *, sum(fresh) over (partition by doc_id order by i) run from (select *, case when i - lag(i) over (partition by doc_id order by i) <= 200 then 0 else 1 end fresh from starts)),
+spans as (select doc_id, run, min(i) - 1 lo, max(i) - min(i) + 200 len from runs group by doc_id, run),
+per as (select doc_id, sum(len) n, count(*) k, string_agg('{"start":' || lo || ',"length":' || len || '}', ',' order by lo) js from spans group by doc_id),
+sizes as (select doc_id, max(length(text)) n_chars from documents where doc_id is not null group by doc_id)
+select doc_id, n_chars, cast(case when n_chars is not null then coalesce(n, 0) end as bigint) n_shared, case when n_chars > 0 then coalesce(n, 0) / n_chars when n_chars = 0 then 0.0 end as share, cast(coalesce(k, 0) as int) n_spans, '[' || coalesce(js, '') || ']' spans from sizes left join per using (doc_id)
+"""
+
+ORACLES = {"p1_found": P1, "p6_found": P6, "p6_sizes": P6_SIZES, "p9_found": P9, "p10_found": P10, "p10_spans": P10_SPANS}
