@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from partloom.functions.keys import key, stripped
 from partloom.operators.skew import join_unique
+from partloom.session import Cuts
 
 
 def validity(parents: DataFrame, parent_key: str, seen_at: str, status: str) -> DataFrame:
@@ -53,8 +54,8 @@ def dangling(refs: list[DataFrame], parents: DataFrame) -> DataFrame:
     after the record). ref_month is the yyyy-MM of the record's earliest time, null if it has none; such a
     record is never late. Empty references give no rows; with empty parents every reference is missing.
     """
-    all_refs = reduce(DataFrame.unionByName, refs)
-    judged = join_unique(all_refs, parents.withColumn("known", F.lit(True)), "ref_key")
+    all_refs, n, _ = Cuts(parents.sparkSession, "references").write(reduce(DataFrame.unionByName, refs))
+    judged = join_unique(all_refs, parents.withColumn("known", F.lit(True)), "ref_key", n=n)
     kind = F.when(F.col("known").isNull(), "missing").when(F.col("last_status") == "DELETED", "deleted").when(F.col("first_seen") > F.col("seen"), "late")
     return judged.withColumn("kind", kind).where("kind is not null").select("table_name", "record_key", "field_name", "ref_key", F.date_format("seen", "yyyy-MM").alias("ref_month"), "kind")
 

@@ -62,12 +62,27 @@ def static_plans(spark: SparkSession, tasks: int | None = None) -> Iterator[None
             spark.conf.set(k, v)
 
 
+_session_folders: dict[str, str] = {}
+
+
+def _session_folder(spark: SparkSession) -> str:
+    """The session's own folder below the shared one; its file system deletes it when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _session_folders:
+        _session_folders[app] = f"{shared_folder(spark)}/partloom/{app}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(_session_folders[app])
+        system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(at)
+        system.deleteOnExit(at)
+    return _session_folders[app]
+
+
 class Cuts:
-    """Tables written to the shared folder to cut lineage; old ones are dropped when no longer read."""
+    """Tables written to the shared folder to cut lineage; old ones are dropped when no longer read, all of them when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/partloom/{name}-{uuid.uuid4().hex[:12]}"
+        self.root = f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
 
     def write(self, df: DataFrame, partitions: int | None = None) -> tuple[DataFrame, int, str]:
