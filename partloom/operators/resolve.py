@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -155,6 +155,34 @@ def evaluation_by_maker(found: DataFrame, p: DataFrame, shortest: int = 8) -> Da
     return out.select("band", "difficulty", F.when(whole, F.col("predicted")).alias("predicted"), "labelled", "true_positives", F.round(precision, 4).alias("precision"), F.round(recall, 4).alias("recall"), F.round(f1, 4).alias("f1"))
 
 
+def candidate_recall(candidates: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row (labelled, as_candidates, recall): how many of the labelled pairs (a, b) the blocking proposes; recall 0 without labels."""
+    both = truth.select("a", "b").distinct().join(candidates.select("a", "b", F.lit(1).alias("hit")).distinct(), ["a", "b"], "left")
+    return both.agg(F.count(F.lit(1)).alias("labelled"), F.count("hit").alias("as_candidates")).withColumn("recall", F.round(F.coalesce(F.try_divide("as_candidates", "labelled"), F.lit(0.0)), 4))
+
+
+def recall_by_difficulty(judged: DataFrame, truth: DataFrame) -> DataFrame:
+    """(difficulty, labelled, found, recall) of the labelled pairs among judged (a, b, hit)."""
+    mine = judged.select("a", "b", "hit").join(truth.select("a", "b", "difficulty").distinct(), ["a", "b"])
+    return mine.groupBy("difficulty").agg(F.count(F.lit(1)).alias("labelled"), F.count(F.when(F.col("hit"), 1)).alias("found")).withColumn("recall", F.round(F.col("found") / F.col("labelled"), 4))
+
+
+def save_model(fitted, cut: float, folder: str) -> None:
+    """A fitted model with its threshold and features, into a folder that must not hold one yet."""
+    fitted.save(f"{folder}/model")
+    from pyspark.sql import SparkSession
+
+    SparkSession.active().createDataFrame([(type(fitted).__name__, cut, list(WEIGHTS))], "model string, threshold double, features array<string>").write.json(f"{folder}/about")
+
+
+def load_model(spark: SparkSession, folder: str):
+    """(fitted model, threshold, features) as saved by save_model."""
+    from pyspark.ml import classification
+
+    about = spark.read.schema("model string, threshold double, features array<string>").json(f"{folder}/about").first()
+    return getattr(classification, about["model"]).load(f"{folder}/model"), about["threshold"], list(about["features"])
+
+
 def pair_groups(pairs: DataFrame) -> DataFrame:
     """pairs with group: the number, from 0, of the connected group their parts belong to, by its smallest part."""
     from partloom.operators.stars import weak_groups
@@ -218,7 +246,7 @@ def train(data: DataFrame, model: str = "logistic", seed: int = 7):
     m = t.agg(n_if("hit and label = 1").alias("tp"), n_if("hit and label = 0").alias("fp"), n_if("not hit and label = 1").alias("fn"), n_if("not hit and label = 0").alias("tn"))
     rate = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 4)
     f = {k: F.col(k) for k in ("tp", "fp", "fn", "tn")}
-    metrics = m.select(F.lit(model).alias("model"), F.lit(cut).alias("threshold"), "tp", "fp", "fn", "tn", rate(f["tp"], f["tp"] + f["fp"]).alias("precision"), rate(f["tp"], f["tp"] + f["fn"]).alias("recall"), rate(2 * f["tp"], 2 * f["tp"] + f["fp"] + f["fn"]).alias("f1"), rate(f["fp"], f["fp"] + f["tn"]).alias("false_positive_rate"))
+    metrics = m.select(F.lit(model).alias("model"), F.lit(cut).alias("threshold"), "tp", "fp", "fn", "tn", rate(f["tp"], f["tp"] + f["fp"]).alias("precision"), rate(f["tp"], f["tp"] + f["fn"]).alias("recall"), rate(2 * f["tp"], 2 * f["tp"] + f["fp"] + f["fn"]).alias("f1"), rate(f["fp"], f["fp"] + f["tn"]).alias("false_positive_rate"), rate(f["fn"], f["fn"] + f["tp"]).alias("false_negative_rate"))
     return fitted, cut, spark.createDataFrame(metrics.collect(), metrics.schema)
 
 

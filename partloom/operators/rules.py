@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from partloom.operators.staging import AS_OF
+from partloom.session import Cuts
 from partloom.sources.binding import CURRENCIES, STATUSES, UOMS, Tables
 
 VIOLATION = ["entity_type", "entity_key", "field", "failed_value"]
@@ -263,25 +264,54 @@ def table_violations(rules: list[Rule], t: Tables, table: str) -> DataFrame:
     return getattr(t, table).select(F.inline(F.array_compact(F.array(*cells))))
 
 
-def run(t: Tables, rules: list[Rule] | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """(all violations with their rule_id, [(rule_id, error)]): a rule that can't be planned fails alone and is reported."""
-    todo = enabled_rules(RULES if rules is None else rules)
+def _frames(t: Tables, rules: list[Rule]) -> tuple[list[tuple[list[Rule], DataFrame]], list[tuple[str, str]]]:
+    """([(rules, their violations with rule_id)], [(rule_id, error)] of those that can't be planned): row rules of a table share one frame."""
     by_table: dict[str, list[Rule]] = {}
     frames, failed = [], []
-    for r in todo:
+    for r in rules:
         if r.find is None:
             by_table.setdefault(r.table, []).append(r)
         else:
             try:
-                frames.append(violations(r, t).select(F.lit(r.rule_id).alias("rule_id"), *VIOLATION))
+                frames.append(([r], violations(r, t).select(F.lit(r.rule_id).alias("rule_id"), *VIOLATION)))
             except Exception as e:
                 failed.append((r.rule_id, str(e)))
     for name, group in by_table.items():
         try:
-            frames.append(table_violations(group, t, name))
+            frames.append((group, table_violations(group, t, name)))
         except Exception as e:
             failed += [(r.rule_id, str(e)) for r in group]
-    return reduce(DataFrame.unionByName, frames), failed
+    return frames, failed
+
+
+def run(t: Tables, rules: list[Rule] | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """(all violations with their rule_id, [(rule_id, error)]): a rule that can't be planned fails alone and is reported."""
+    frames, failed = _frames(t, enabled_rules(RULES if rules is None else rules))
+    return reduce(DataFrame.unionByName, [f for _, f in frames]), failed
+
+
+def run_stored(t: Tables, rules: list[Rule] | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """As run, with the violations written: a rule that fails while it runs fails alone, too.
+
+    All rules are written in one job; only if that fails each rule is written by itself, and those that fail again are reported.
+    """
+    todo = enabled_rules(RULES if rules is None else rules)
+    cuts = Cuts(t.spark, "rules")
+    try:
+        found, failed = run(t, todo)
+        return cuts.write(found)[0], failed
+    except Exception:
+        frames, failed, done = [], [], []
+        for r in todo:
+            more, bad = _frames(t, [r])
+            frames, failed = frames + more, failed + bad
+        for group, df in frames:
+            try:
+                done.append(cuts.write(df)[0])
+            except Exception as e:
+                failed += [(r.rule_id, str(e)) for r in group]
+        none = t.spark.createDataFrame([], "rule_id string, entity_type string, entity_key string, field string, failed_value string")
+        return reduce(DataFrame.unionByName, done, none), failed
 
 
 def issues(found: DataFrame, run_id: str, at: str = AS_OF, rules: list[Rule] | None = None) -> DataFrame:

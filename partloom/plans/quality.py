@@ -27,14 +27,14 @@ def add(name: str, build: Callable[[Tables], DataFrame], sql: str | None = None,
 
 def violations_of(t: Tables) -> DataFrame:
     """The violations of all enabled rules, found once for the session."""
+    return t.kept("violations", lambda: _all_found(t))
 
-    def build() -> DataFrame:
-        found, failed = rules.run(t.stored(*CORE))
-        if failed:
-            raise RuntimeError(f"rules failed: {failed}")
-        return found
 
-    return t.kept("violations", build)
+def _all_found(t: Tables) -> DataFrame:
+    found, failed = rules.run_stored(t.stored(*CORE))
+    if failed:
+        raise RuntimeError(f"rules failed: {failed}")
+    return found
 
 
 def issues_of(t: Tables, chosen: list[str] | None = None) -> DataFrame:

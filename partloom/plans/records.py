@@ -71,6 +71,17 @@ add("er_matches", lambda t: resolve.find_matches(t.dim_part))
 add("er_evaluate", _evaluated)
 
 
+_TRUTH = "select x.part_key a, y.part_key b from prep x join prep y on x.mpn = y.mpn and x.part_key < y.part_key and x.source <> y.source where length(x.mpn) >= 8 and x.mpn in (select mpn from prep group by 1 having count(*) between 2 and 200)"
+
+
+def _candidate_recall(t: Tables) -> DataFrame:
+    p = _prepared(t)
+    return resolve.candidate_recall(resolve.candidate_pairs(p), _truth(p))
+
+
+add("er_candidate_recall", _candidate_recall, "select count(*) labelled, count(c.a) as_candidates, round(coalesce(count(c.a) / nullif(count(*), 0), 0), 4) recall from lab l left join cand c on c.a = l.a and c.b = l.b", _ER | {"lab": _TRUTH})
+
+
 def _trained(t: Tables) -> DataFrame:
     p = _prepared(t)
     f = resolve.features(resolve.candidate_pairs(p), p)

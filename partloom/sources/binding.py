@@ -34,7 +34,7 @@ class Tables:
     """Core tables of one folder, each built when asked for."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.done = spark, folder, set[str]()
+        self.spark, self.folder, self.done, self.own = spark, folder, set[str](), dict[str, DataFrame]()
 
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.folder, name)
@@ -49,8 +49,12 @@ class Tables:
         return self
 
     def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """A table that rests on these, built once for the session."""
-        return kept(self.spark, self.folder, name, build)
+        """A table that rests on these, built once for the session; tables that come from no folder of files keep it to themselves."""
+        if self.folder:
+            return kept(self.spark, self.folder, name, build)
+        if name not in self.own:
+            self.own[name] = Cuts(self.spark, "kept").write(build())[0]
+        return self.own[name]
 
     @cached_property
     def dim_part(self) -> DataFrame:

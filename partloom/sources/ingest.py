@@ -7,7 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from partloom.session import Cuts
+
 LAYERS = ("raw", "staging", "core", "quality", "marts", "ground_truth", "ops")
+#: fixed values: texts of a CSV that mean null
+NULL_TEXTS = ("", "NULL", "None")
 #: fixed values: columns added to every ingested row
 AUDIT = ("_source_system_file", "_ingestion_batch_id", "_ingested_at", "_file_hash", "_schema_version", "_record_seq", "_row_hash", "_load_status")
 
@@ -29,12 +33,14 @@ class Catalogue:
         return f"{self._db(layer)}.{table}"
 
     def load(self, layer: str, table: str, df: DataFrame, replace: bool = True) -> int:
-        """Write a table anew, or add rows by the columns' position; gives the rows it then holds."""
+        """Write a table anew, or add rows by the columns' names; gives the rows it then holds."""
         name = self.name(layer, table)
         if replace or not self.exists(layer, table):
             df.write.mode("overwrite").saveAsTable(name)
         else:
-            df.write.insertInto(name)
+            # columns meet by their names, in any case; those that the rows lack are null
+            have = {c.lower(): c for c in df.columns}
+            df.select(*[(F.col(have[c.lower()]) if c.lower() in have else F.lit(None)).cast(t).alias(c) for c, t in self.spark.table(name).dtypes]).write.insertInto(name)
         return self.count(layer, table)
 
     def table(self, layer: str, table: str) -> DataFrame:
@@ -43,6 +49,19 @@ class Catalogue:
     def query(self, sql: str, args: dict | list | None = None) -> DataFrame:
         return self.spark.sql(sql, args=args)
 
+    def execute(self, sql: str, args: dict | list | None = None) -> None:
+        """A statement that defines or changes tables, run at once."""
+        self.spark.sql(sql, args=args).collect()
+
+    def update(self, layer: str, table: str, where: str, **values: Column) -> int:
+        """Set columns of the rows that a condition names; gives the number of these rows. The table is written anew, from a copy, as its files can't be changed."""
+        now = self.table(layer, table)
+        hit = F.coalesce(F.expr(where), F.lit(False))
+        n = now.where(hit).count()
+        changed = now.select(*[F.when(hit, values[c]).otherwise(F.col(c)).cast(t).alias(c) if c in values else F.col(c) for c, t in now.dtypes])
+        self.load(layer, table, Cuts(self.spark, "update").write(changed)[0])
+        return n
+
     def count(self, layer: str, table: str) -> int:
         return self.table(layer, table).count()
 
@@ -89,6 +108,22 @@ def split_rejects(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return rows.where(~bad), rejects
 
 
+def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows as text, rejects): a CSV with a header. NULL_TEXTS are null; lines that don't have the header's columns are rejected, and the others go on."""
+    plain = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+    schema = ", ".join(f"`{c}` string" for c in plain.columns) + ", `_broken` string"
+    lines = spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_broken")
+    lines = Cuts(spark, "csv").write(lines)[0]
+    null = lambda c: F.when(~F.col(f"`{c}`").isin(*NULL_TEXTS), F.col(f"`{c}`")).alias(c)
+    rejects = lines.where("_broken is not null").select(F.lit(None).cast("long").alias("record_seq"), F.lit("wrong number of columns").alias("reason"), F.to_json(F.struct(F.col("_broken").alias("line"))).alias("record_json"))
+    return lines.where("_broken is null").select(*[null(c) for c in plain.columns]), rejects
+
+
+def keep_evaluation(result: DataFrame, folder: str, name: str) -> None:
+    """An evaluation's rows as one JSON file per run below the folder."""
+    result.coalesce(1).write.mode("overwrite").json(f"{folder}/{name}")
+
+
 def ingest_folder(cat: Catalogue, folder: str, batch: str, at: str) -> dict[str, dict[str, int | str]]:
     """Load every CSV of a folder into raw, once per content: {stem: {status, rows_loaded, rows_rejected}}.
 
@@ -105,8 +140,9 @@ def ingest_folder(cat: Catalogue, folder: str, batch: str, at: str) -> dict[str,
         if f["known"]:
             out[f["stem"]] = {"status": "SKIPPED", "rows_loaded": 0, "rows_rejected": 0}
             continue
-        raw = spark.read.csv(f["path"], header=True, inferSchema=False, nullValue="", multiLine=True, escape='"')
+        raw, broken = read_csv(spark, f["path"])
         good, bad = split_rejects(audited(raw, f["stem"] + ".csv", batch, f["file_hash"], at), raw.columns[0])
+        bad = bad.unionByName(broken)
         had = cat.count("raw", f["stem"]) if cat.exists("raw", f["stem"]) else 0
         loaded = cat.load("raw", f["stem"], good, replace=False) - had
         rejected = bad.select(F.lit(batch).alias("batch_id"), F.lit(f["stem"]).alias("dataset"), "*")

@@ -51,6 +51,13 @@ def test_a_failing_rule_fails_alone(made):
     assert [r for r, _ in failed] == ["X-1"] and found.count() > 0
 
 
+def test_a_rule_that_fails_while_it_runs_fails_alone(made):
+    broken = rules.Rule("X-2", "broken", "low", "validity", "part", "description", "dim_part", "part_key", "cast(part_key as int) > 0", "description")
+    found, failed = rules.run_stored(GeneratedTables(made[0]), [broken, rules.BY_ID["COMP-008"], rules.BY_ID["REFI-002"]])
+    assert [r for r, _ in failed] == ["X-2"] and rows(found.select("rule_id").distinct()) == [("COMP-008",)]
+    assert dict(rows(rules.executions(found, failed, "run", [broken, rules.BY_ID["COMP-008"]]), "rule_id", "status")) == {"X-2": "FAILED", "COMP-008": "OK"}
+
+
 def test_executions_list_rules_without_violations(made):
     ex = rules.executions(made[1], [], "run")
     assert ex.count() == 49 and ex.where("violations = 0").count() > 30
@@ -96,9 +103,10 @@ def test_snapshot_versions_of_all_days(spark, tmp_path):
     seen = {"a": "xxyy", "b": "x..x", "c": ".nnz", "d": "xxxx", "e": "x...", "f": "nxnn"}
     data = [(k.upper() + " ", days[i], None if v == "n" else v, 3, None, date(2024, 6, 1)) for k, vs in seen.items() for i, v in enumerate(vs) if v != "."]
     df = spark.createDataFrame([*data, ("A", days[0], "old", 3, None, date(2024, 5, 1)), (None, days[0], "x", 3, None, date(2024, 5, 1))], "part_id string, snapshot_date date, lifecycle_status string, lead_time_days int, primary_plant string, _ingested_at date")
+    df = df.selectExpr("*", "cast(null as string) description", "'EA' uom", "1.5 standard_cost")
     df.write.parquet(f"{tmp_path}/part_master_snapshot.parquet")
     got = quality.QUERIES["snapshot_scd2"](spark, str(tmp_path))
-    assert got.columns == ["part_id", "lifecycle_status", "lead_time_days", "primary_plant", "valid_from", "valid_to"]
+    assert got.columns == ["part_id", "description", "uom", "lifecycle_status", "standard_cost", "lead_time_days", "primary_plant", "valid_from", "valid_to"]
     folded = spark.createDataFrame([], "k string, v string, valid_from date")
     closed = []
     for i, day in enumerate(days):

@@ -1,6 +1,7 @@
 from uuid import uuid4
 
 import pytest
+from pyspark.sql import functions as F
 
 from partloom.functions.keys import key, source_key
 from partloom.sources.ingest import Catalogue, ingest_folder
@@ -37,6 +38,22 @@ def test_ingest_once_per_content(spark, tmp_path):
         cat.drop()
 
 
+def test_null_texts_broken_lines_and_changes(spark, tmp_path):
+    cat = Catalogue(spark, "t2_")
+    try:
+        (tmp_path / "parts.csv").write_text('id,name,unit\nP1,None,EA\nP2,NULL,KG\nP3,too,many,columns\nP4,"a ""b""",\n')
+        assert ingest_folder(cat, str(tmp_path), "b1", "2026-07-01")["parts"] == {"status": "LOADED", "rows_loaded": 3, "rows_rejected": 1}
+        assert rows(cat.table("raw", "parts"), "id", "name", "unit") == [("P1", None, "EA"), ("P2", None, "KG"), ("P4", 'a "b"', None)]
+        assert cat.update("raw", "parts", "unit = 'EA'", unit=F.lit("PC")) == 1 and cat.table("raw", "parts").where("unit = 'PC'").count() == 1
+        assert cat.load("core", "p", cat.table("raw", "parts").select("id", "unit")) == 3
+        assert cat.load("core", "p", spark.createDataFrame([("KG", "P9")], "UNIT string, ID string"), replace=False) == 4
+        assert rows(cat.table("core", "p").where("id = 'P9'"), "unit") == [("KG",)]
+        cat.execute(f"create table {cat.name('ops', 'seen')} (n int) using parquet")
+        assert cat.exists("ops", "seen")
+    finally:
+        cat.drop()
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for n in ("a", "b"):
