@@ -92,42 +92,6 @@ def _several_current(t: Tables) -> DataFrame:
     return _out(repeated(t.revision.where("is_current"), ["bom_header_id"]), "revision", "revision_id", "is_current", "bom_header_id")
 
 
-def _not_governed(t: Tables) -> DataFrame:
-    bad = t.dim_part.where("uom is not null").join(F.broadcast(t.uom).withColumnRenamed("uom_code", "uom"), "uom", "left_anti")
-    return _out(bad, "part", "part_key", "uom", "uom")
-
-
-def _no_supplier(t: Tables) -> DataFrame:
-    return _out(unmatched(t.dim_part.where("procurement_type = 'BUY'"), "part_key", t.supplier_part, "part_id"), "part", "part_key", "supplier", F.lit(None))
-
-
-def _no_bom(t: Tables) -> DataFrame:
-    return _out(unmatched(t.dim_part.where("procurement_type = 'MAKE' and bom_tier >= 2"), "part_key", t.fact_bom, "parent_part_key"), "part", "part_key", "bom", F.lit(None))
-
-
-def _demanded(status: str):
-    def find(t: Tables) -> DataFrame:
-        return _out(t.dim_part.where(F.col("lifecycle_status") == status).join(t.fact_demand.select("part_key"), "part_key", "left_semi"), "part", "part_key", "lifecycle_status", "lifecycle_status")
-
-    return find
-
-
-def _component(status: str):
-    def find(t: Tables) -> DataFrame:
-        """Few parts have the status: they are looked up first, so only their links meet the parents."""
-        child = t.dim_part.where(F.col("lifecycle_status") == status).select(F.col("part_key").alias("child_part_key"))
-        parent = t.dim_part.where("lifecycle_status = 'ACTIVE'").select(F.col("part_key").alias("parent_part_key"))
-        return _out(t.fact_bom.join(child, "child_part_key").join(parent, "parent_part_key"), "bom_relationship", "bom_rel_key", "child_part_key", "child_part_key")
-
-    return find
-
-
-def _other_currency(t: Tables) -> DataFrame:
-    s = t.dim_supplier.select(F.col("supplier_key").alias("supplier_id"), F.col("currency").alias("own"))
-    both = t.supplier_part.join(s, "supplier_id").where("currency <> own and currency <> 'USD'")
-    return _out(both, "supplier_part", "supplier_part_id", "currency", F.concat_ws(" vs ", "currency", "own"))
-
-
 def overlapping(df: DataFrame, group: str, ident: str, start: str, end: str) -> DataFrame:
     """(ident, other): pairs of a group whose periods overlap, the first with an end; an open second one never ends.
 
@@ -171,22 +135,6 @@ def _two_cycles(t: Tables) -> DataFrame:
     return _out(met, "bom_relationship", "bom_rel_key", "child_part_key", F.concat_ws(" <-> ", "parent_part_key", "child_part_key"))
 
 
-def _quoted_against_erp(t: Tables) -> DataFrame:
-    erp = t.supplier_part.select("supplier_id", "part_id", "unit_price", F.col("lead_time_days").alias("erp_lead"))
-    return t.quote.join(erp, ["supplier_id", "part_id"])
-
-
-def _quote_price(t: Tables) -> DataFrame:
-    ratio = F.try_divide(F.col("quoted_price").cast("double"), F.col("unit_price").cast("double"))
-    q = _quoted_against_erp(t).where("unit_price > 0").where((ratio > 1.3) | (ratio < 0.7))
-    return _out(q, "quote", "quote_id", "quoted_price", F.concat(F.col("quoted_price").cast("string"), F.lit(" vs "), F.col("unit_price").cast("string")))
-
-
-def _quote_lead(t: Tables) -> DataFrame:
-    q = _quoted_against_erp(t).where("abs(quoted_lead_time_days - erp_lead) > 14")
-    return _out(q, "quote", "quote_id", "quoted_lead_time_days", F.concat(F.col("quoted_lead_time_days").cast("string"), F.lit(" vs "), F.col("erp_lead").cast("string")))
-
-
 def _set(rule_id, name, severity, domain, entity, field, find, threshold=None):
     return Rule(rule_id, name, severity, domain, entity, field, find=find, threshold=threshold)
 
@@ -195,7 +143,7 @@ RULES: list[Rule] = [
     _missing("COMP-001", "Part without description", "high", "description"),
     _missing("COMP-002", "Part without category", "medium", "category"),
     _missing("COMP-003", "Part without unit of measure", "critical", "uom"),
-    _set("COMP-004", "Bought part without supplier", "high", "completeness", "part", "supplier", _no_supplier),
+    _rows("COMP-004", "Bought part without supplier", "high", "completeness", "part", "part_uses", "part_key", "supplier", "procurement_type = 'BUY' and supplied is null", "cast(null as string)"),
     _missing("COMP-005", "Part without lead time", "high", "lead_time_days"),
     _missing("COMP-006", "Part without standard cost", "high", "standard_cost"),
     _missing("COMP-007", "Part without plant", "medium", "primary_plant"),
@@ -205,7 +153,7 @@ RULES: list[Rule] = [
     _set("UNIQ-003", "Supplier name repeated", "critical", "uniqueness", "supplier", "supplier_name_normalized", _repeats("dim_supplier", ["supplier_name_normalized"], "supplier", "supplier_key", "supplier_name_normalized")),
     _set("UNIQ-004", "Maker number repeated", "high", "uniqueness", "part", "mpn_normalized", _repeats("dim_part", ["mpn_normalized"], "part", "part_key", "mpn_normalized", True)),
     _set("UNIQ-005", "Several current revisions", "high", "uniqueness", "revision", "is_current", _several_current),
-    _set("VALD-001", "Unit not governed", "high", "validity", "part", "uom", _not_governed),
+    _rows("VALD-001", "Unit not governed", "high", "validity", "part", "dim_part", "part_key", "uom", f"uom not in ({_quoted(UOMS)})"),
     _rows("VALD-002", "Currency not governed", "high", "validity", "supplier_part", "supplier_part", "supplier_part_id", "currency", f"currency not in ({_quoted(CURRENCIES)})"),
     _rows("VALD-003", "Status not governed", "medium", "validity", "part", "dim_part", "part_key", "lifecycle_status", f"lifecycle_status not in ({_quoted(STATUSES)})"),
     _rows("VALD-004", "Cost not positive", "high", "validity", "part", "dim_part", "part_key", "standard_cost", "standard_cost <= 0"),
@@ -213,18 +161,18 @@ RULES: list[Rule] = [
     _rows("VALD-006", "Quantity zero", "critical", "validity", "bom_relationship", "fact_bom", "bom_rel_key", "quantity_per", "quantity_per = 0"),
     _rows("VALD-007", "Quantity negative", "critical", "validity", "bom_relationship", "fact_bom", "bom_rel_key", "quantity_per", "quantity_per < 0"),
     _rows("VALD-008", "Revision ends before it starts", "high", "validity", "revision", "revision", "revision_id", "effective_to", "effective_to < effective_from"),
-    _set("REFI-001", "Parent not in part master", "critical", "referential", "bom_relationship", "parent_part_key", _orphans("fact_bom", "parent_part_key", "dim_part", "part_key", "bom_relationship", "bom_rel_key")),
-    _set("REFI-002", "Child not in part master", "critical", "referential", "bom_relationship", "child_part_key", _orphans("fact_bom", "child_part_key", "dim_part", "part_key", "bom_relationship", "bom_rel_key")),
-    _set("REFI-003", "Supplier unknown", "high", "referential", "supplier_part", "supplier_id", _orphans("supplier_part", "supplier_id", "dim_supplier", "supplier_key", "supplier_part", "supplier_part_id")),
+    _rows("REFI-001", "Parent not in part master", "critical", "referential", "bom_relationship", "link_ends", "bom_rel_key", "parent_part_key", "parent_known is null"),
+    _rows("REFI-002", "Child not in part master", "critical", "referential", "bom_relationship", "link_ends", "bom_rel_key", "child_part_key", "child_known is null"),
+    _rows("REFI-003", "Supplier unknown", "high", "referential", "supplier_part", "supplied_by", "supplier_part_id", "supplier_id", "known is null"),
     _set("REFI-004", "Plant unknown", "high", "referential", "part", "primary_plant", _orphans("dim_part", "primary_plant", "dim_plant", "plant_key", "part", "part_key", False)),
     _set("REFI-005", "Demand for unknown part", "high", "referential", "demand", "part_key", _orphans("fact_demand", "part_key", "dim_part", "part_key", "demand", "demand_key")),
     _set("REFI-006", "Cost of unknown part", "medium", "referential", "cost", "part_key", _orphans("fact_cost", "part_key", "dim_part", "part_key", "cost", "cost_key")),
-    _set("XFLD-001", "Made part without components", "high", "consistency", "part", "bom", _no_bom),
-    _set("XFLD-002", "Obsolete part in demand", "critical", "consistency", "part", "lifecycle_status", _demanded("OBSOLETE")),
-    _set("XFLD-003", "Blocked part in demand", "critical", "consistency", "part", "lifecycle_status", _demanded("BLOCKED")),
-    _set("XFLD-004", "Obsolete component of active assembly", "critical", "consistency", "bom_relationship", "child_part_key", _component("OBSOLETE")),
-    _set("XFLD-005", "Blocked component of active assembly", "high", "consistency", "bom_relationship", "child_part_key", _component("BLOCKED")),
-    _set("XFLD-006", "Currency other than the supplier's", "medium", "consistency", "supplier_part", "currency", _other_currency),
+    _rows("XFLD-001", "Made part without components", "high", "consistency", "part", "part_uses", "part_key", "bom", "procurement_type = 'MAKE' and bom_tier >= 2 and built is null", "cast(null as string)"),
+    _rows("XFLD-002", "Obsolete part in demand", "critical", "consistency", "part", "part_uses", "part_key", "lifecycle_status", "lifecycle_status = 'OBSOLETE' and demanded"),
+    _rows("XFLD-003", "Blocked part in demand", "critical", "consistency", "part", "part_uses", "part_key", "lifecycle_status", "lifecycle_status = 'BLOCKED' and demanded"),
+    _rows("XFLD-004", "Obsolete component of active assembly", "critical", "consistency", "bom_relationship", "link_ends", "bom_rel_key", "child_part_key", "child_status = 'OBSOLETE' and parent_status = 'ACTIVE'"),
+    _rows("XFLD-005", "Blocked component of active assembly", "high", "consistency", "bom_relationship", "link_ends", "bom_rel_key", "child_part_key", "child_status = 'BLOCKED' and parent_status = 'ACTIVE'"),
+    _rows("XFLD-006", "Currency other than the supplier's", "medium", "consistency", "supplier_part", "supplied_by", "supplier_part_id", "currency", "currency <> own_currency and currency <> 'USD'", "concat(currency, ' vs ', own_currency)"),
     _rows("XFLD-007", "Raw material counted in pieces", "low", "consistency", "part", "dim_part", "part_key", "uom", "category = 'RAW_MATERIALS' and uom in ('EA', 'SET', 'PR')"),
     _set("TEMP-001", "Revisions overlap", "high", "temporal", "revision", "effective_from", _overlaps),
     _rows("TEMP-002", "Active part not updated for long", "medium", "temporal", "part", "dim_part", "part_key", "last_updated", f"lifecycle_status = 'ACTIVE' and last_updated < date '{AS_OF}' - interval '1095' day", "", 1095.0),
@@ -238,8 +186,8 @@ RULES: list[Rule] = [
     _rows("GRPH-001", "Part contains itself", "critical", "graph", "bom_relationship", "fact_bom", "bom_rel_key", "child_part_key", "parent_part_key = child_part_key"),
     _set("GRPH-002", "Two parts contain each other", "critical", "graph", "bom_relationship", "child_part_key", _two_cycles),
     _set("GRPH-003", "Component repeated in a revision", "low", "graph", "bom_relationship", "child_part_key", _repeats("fact_bom", ["parent_part_key", "child_part_key", "revision_label"], "bom_relationship", "bom_rel_key", "child_part_key")),
-    _set("DOCR-001", "Quoted price differs", "high", "reconciliation", "quote", "quoted_price", _quote_price, 1.3),
-    _set("DOCR-002", "Quoted lead time differs", "high", "reconciliation", "quote", "quoted_lead_time_days", _quote_lead, 14.0),
+    _rows("DOCR-001", "Quoted price differs", "high", "reconciliation", "quote", "quoted", "quote_id", "quoted_price", "unit_price > 0 and not try_divide(cast(quoted_price as double), cast(unit_price as double)) between 0.7 and 1.3", "concat(quoted_price, ' vs ', unit_price)", 1.3),
+    _rows("DOCR-002", "Quoted lead time differs", "high", "reconciliation", "quote", "quoted", "quote_id", "quoted_lead_time_days", "abs(quoted_lead_time_days - erp_lead) > 14", "concat(quoted_lead_time_days, ' vs ', erp_lead)", 14.0),
     _rows("DOCR-003", "Quote expired", "low", "reconciliation", "quote", "quote", "quote_id", "valid_to", f"valid_to < date '{AS_OF}' - interval '90' day"),
 ]
 

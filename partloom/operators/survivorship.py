@@ -6,7 +6,7 @@ how recent the record is within its entity, and how many of the entity's values
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partloom.operators.scoring import RELIABILITY
@@ -43,6 +43,12 @@ def scored(members: DataFrame, numbers_agree: bool = True) -> DataFrame:
     return out.withColumn("score", F.round(score, 4).cast("decimal(8,4)"))
 
 
+def _confidence(score: Column, margin: Column) -> Column:
+    """The confidence in a score with its margin over the next, in decimals so that rounding is exact."""
+    d = lambda x: F.lit(x).cast("decimal(8,4)")
+    return F.round(F.least(d("1"), score * (d("0.7") + F.least(d("0.3"), margin))), 4).cast("double")
+
+
 def decide(members: DataFrame, numbers_agree: bool = True) -> DataFrame:
     """(entity_id, field_name, selected_value, source_record, source_system, reason, confidence, alternatives): one row per entity and field.
 
@@ -52,11 +58,11 @@ def decide(members: DataFrame, numbers_agree: bool = True) -> DataFrame:
     s = scored(members, numbers_agree)
     ranked = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "part_id", "value", "source_system", "agreement", "bonus")))
     per = s.groupBy("entity_id", "field_name").agg(ranked.alias("r")).withColumn("best", F.col("r")[0])
-    top = (-F.col("best.minus")).cast("double")
-    margin = F.when(F.size("r") > 1, top + F.get("r", F.lit(1))["minus"].cast("double")).otherwise(top)
+    top = -F.col("best.minus")
+    margin = F.when(F.size("r") > 1, top + F.get("r", F.lit(1))["minus"]).otherwise(top)
     reason = F.concat_ws(" + ", F.concat(F.lit("source_reliability("), "best.source_system", F.lit(")")), F.when(F.col("best.agreement") > 0.5, F.concat(F.lit("cross_source_agreement("), F.round(F.col("best.agreement") * 100).cast("int").cast("string"), F.lit("%)"))), F.when(F.col("best.bonus") > 0, F.concat(F.lit("domain_preference("), "field_name", F.lit(")"))))
     others = F.transform(F.filter("r", lambda x: x["value"] != F.col("best.value")), lambda x: F.struct(x["value"].alias("value"), x["part_id"].alias("source_record"), x["source_system"].alias("source_system"), (-x["minus"]).alias("score")))
-    return per.select("entity_id", "field_name", F.col("best.value").alias("selected_value"), F.col("best.part_id").alias("source_record"), F.col("best.source_system").alias("source_system"), reason.alias("reason"), F.round(F.least(F.lit(1.0), top * (0.7 + F.least(F.lit(0.3), margin))), 4).alias("confidence"), others.alias("alternatives"))
+    return per.select("entity_id", "field_name", F.col("best.value").alias("selected_value"), F.col("best.part_id").alias("source_record"), F.col("best.source_system").alias("source_system"), reason.alias("reason"), _confidence(top, margin).alias("confidence"), others.alias("alternatives"))
 
 
 def winners(members: DataFrame, numbers_agree: bool = True) -> DataFrame:
@@ -64,13 +70,13 @@ def winners(members: DataFrame, numbers_agree: bool = True) -> DataFrame:
     s = scored(members, numbers_agree)
     best = F.min(F.struct((-F.col("score")).alias("minus"), "part_id", "value", "source_system", "agreement", "bonus"))
     top = s.groupBy("entity_id", "field_name").agg(best.alias("best"), F.count(F.lit(1)).alias("n"))
-    mine = (-F.col("best.minus")).cast("double")
+    mine = -F.col("best.minus")
     rank = s.join(top, ["entity_id", "field_name"]).where(F.struct((-F.col("score")).alias("minus"), "part_id", "value", "source_system", "agreement", "bonus") > F.col("best"))
-    second = rank.groupBy("entity_id", "field_name").agg(F.max("score").cast("double").alias("next"))
+    second = rank.groupBy("entity_id", "field_name").agg(F.max("score").alias("next"))
     both = top.join(second, ["entity_id", "field_name"], "left")
     margin = F.when(F.col("next").isNotNull(), mine - F.col("next")).otherwise(mine)
     reason = F.concat_ws(" + ", F.concat(F.lit("source_reliability("), "best.source_system", F.lit(")")), F.when(F.col("best.agreement") > 0.5, F.concat(F.lit("cross_source_agreement("), F.round(F.col("best.agreement") * 100).cast("int").cast("string"), F.lit("%)"))), F.when(F.col("best.bonus") > 0, F.concat(F.lit("domain_preference("), "field_name", F.lit(")"))))
-    return both.select("entity_id", "field_name", F.col("best.value").alias("selected_value"), F.col("best.part_id").alias("source_record"), F.col("best.source_system").alias("source_system"), reason.alias("reason"), F.round(F.least(F.lit(1.0), mine * (0.7 + F.least(F.lit(0.3), margin))), 4).alias("confidence"))
+    return both.select("entity_id", "field_name", F.col("best.value").alias("selected_value"), F.col("best.part_id").alias("source_record"), F.col("best.source_system").alias("source_system"), reason.alias("reason"), _confidence(mine, margin).alias("confidence"))
 
 
 def flat(decisions: DataFrame) -> DataFrame:

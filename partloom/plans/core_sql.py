@@ -158,7 +158,7 @@ SET_RULES: dict[str, str] = {
 def rule_sql(rule_id: str) -> str:
     """A rule's violations, to be used behind with_tables."""
     r = next(r for r in RULES if r.rule_id == rule_id)
-    if r.find is not None:
+    if rule_id in SET_RULES:
         return SET_RULES[rule_id]
     return _v(r.entity_type, r.key, r.field, r.value.replace(" as string)", " as varchar)"), f"{r.table} where {r.when}")
 

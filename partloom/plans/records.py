@@ -106,7 +106,7 @@ _GOLD = {
     "scored": "select *, cast(round(cast(0.45e0 * (base + bonus) + 0.25e0 * rec + 0.30e0 * agr as decimal(12, 8)), 4) as decimal(8, 4)) score from sc",
     "best": "select *, lead(score) over (partition by entity_id, field_name order by score desc, part_id, val) nxt, row_number() over (partition by entity_id, field_name order by score desc, part_id, val) rn from scored",
 }
-_CONF = "round(least(1e0, cast(score as double) * (0.7e0 + least(0.3e0, case when nxt is null then cast(score as double) else cast(score as double) - cast(nxt as double) end))), 4)"
+_CONF = "cast(round(least(cast(1 as decimal(18, 8)), score * (0.7 + least(0.3, case when nxt is null then score else score - nxt end))), 4) as double)"
 # numbers are compared as text, which the engines write differently; the value itself is left to the fields of text
 add("golden_fields", lambda t: survivorship.decide(t.raw("golden_record_member")).select("entity_id", "field_name", "source_record", "source_system", "confidence"), f"select entity_id, field_name, part_id source_record, source_system, {_CONF} confidence from best where rn = 1", _GOLD)
 add("golden_flat", lambda t: survivorship.flat(survivorship.decide(t.raw("golden_record_member"))).drop("standard_cost", "lead_time_days"), "select entity_id, " + ", ".join(f"max(val) filter (field_name = '{f}') {f}" for f in survivorship.FIELDS if f not in ("standard_cost", "lead_time_days")) + " from best where rn = 1 group by 1", _GOLD)

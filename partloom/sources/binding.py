@@ -118,6 +118,35 @@ class Tables:
         price = (F.col("unit_price") * ((F.col("i") % 97 + 52).cast("decimal(6,0)") * F.lit("0.01").cast("decimal(3,2)"))).cast("decimal(18,4)")
         return sp.select(F.concat(F.lit("QT"), "supplier_part_id").alias("quote_id"), "supplier_id", "part_id", price.alias("quoted_price"), (F.col("lead_time_days") + (F.col("i") % 41).cast("int") - 20).alias("quoted_lead_time_days"), F.date_sub(F.lit(staging.AS_OF).cast("date"), (F.col("i") % 400).cast("int")).alias("valid_to"))
 
+    # tables joined once for the rules that ask the same of them
+
+    @cached_property
+    def link_ends(self) -> DataFrame:
+        """Every link with the status of its parent and of its child; parent_known and child_known are null where the master has no such part."""
+        end = lambda c: self.dim_part.select(F.col("part_key").alias(f"{c}_part_key"), F.lit(True).alias(f"{c}_known"), F.col("lifecycle_status").alias(f"{c}_status"))
+        return self.fact_bom.select("bom_rel_key", "parent_part_key", "child_part_key").join(end("child"), "child_part_key", "left").join(end("parent"), "parent_part_key", "left")
+
+    @cached_property
+    def part_uses(self) -> DataFrame:
+        """Every part with supplied, built and demanded: true where a supplier, a structure or a demand has it, else null."""
+        flag = lambda df, c, name: df.select(F.col(c).alias("part_key")).where("part_key is not null").distinct().withColumn(name, F.lit(True))
+        out = self.dim_part.select("part_key", "procurement_type", "bom_tier", "lifecycle_status")
+        for more in (flag(self.supplier_part, "part_id", "supplied"), flag(self.fact_bom, "parent_part_key", "built"), flag(self.fact_demand, "part_key", "demanded")):
+            out = out.join(more, "part_key", "left")
+        return out
+
+    @cached_property
+    def supplied_by(self) -> DataFrame:
+        """Every supplier part with its supplier's currency; known is null where there is no such supplier."""
+        s = self.dim_supplier.select(F.col("supplier_key").alias("supplier_id"), F.col("currency").alias("own_currency"), F.lit(True).alias("known"))
+        return self.supplier_part.select("supplier_part_id", "supplier_id", "currency").join(s, "supplier_id", "left")
+
+    @cached_property
+    def quoted(self) -> DataFrame:
+        """Every quote with each supplier part of its supplier and part."""
+        erp = self.supplier_part.select("supplier_id", "part_id", "unit_price", F.col("lead_time_days").alias("erp_lead"))
+        return self.quote.join(erp, ["supplier_id", "part_id"])
+
     @cached_property
     def call_audit(self) -> DataFrame:
         return calls_of(self.raw("events"))
