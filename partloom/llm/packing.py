@@ -42,15 +42,19 @@ def _encoding(vocabulary: str):
 
 
 def token_counts(documents: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, n_tokens): the size of each document; null and empty texts have none. A row repeated in full is one row."""
+    """(doc_id, n_tokens): the size of each document; null and empty texts have none.
+
+    A row repeated in full is one row; different texts of one id are documents of their own, also of the same size (told apart by a hash of 64 bits).
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(vocabulary).encode_ordinary
         for b in batches:
             sizes = [len(encode(t)) if t else 0 for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), b.column(2)], names=["doc_id", "n_tokens", "h"])
 
-    return documents.select("doc_id", "text").where("doc_id is not null").mapInArrow(count, "doc_id long, n_tokens long").distinct()
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).where("doc_id is not null")
+    return texts.mapInArrow(count, "doc_id long, n_tokens long, h long").distinct().drop("h")
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:

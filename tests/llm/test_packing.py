@@ -78,3 +78,5 @@ def test_token_counts(spark):
     encode = packing._encoding(VOCABULARY)
     assert got[2] == got[3] == 0 and got[1] == len(encode.encode_ordinary("Der Preis für 3 Stück\r\n")) and len(got) == 4 and got[4] > 60_000
     assert encode.decode(encode.encode_ordinary("Der Preis für 3 Stück\r\n")) == "Der Preis für 3 Stück\r\n"
+    two = spark.createDataFrame([(7, "one"), (7, "two"), (7, "two")], "doc_id long, text string")
+    assert rows(packing.token_counts(two, VOCABULARY)) == [(7, 1), (7, 1)]
