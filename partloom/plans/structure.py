@@ -96,7 +96,13 @@ def _paths(t: Tables) -> DataFrame:
     return graph.simple_paths(e.select("parent", "child"), far["root"], far["part"]).select(F.array_join("path", ">").alias("path"), "n_links")
 
 
-add("graph_paths", _paths)
+_WAYS = {
+    "edges": _EDGES,
+    "tree(part, lvl)": f"select * from (select x.parent, 0 from {_FIRST} x) union select e.child, lvl + 1 from tree join edges e on e.parent = part where lvl < 60",
+    "far": "select part from (select part, min(lvl) l from tree group by 1) order by l desc, part limit 1",
+    "ways(path)": f"select [x.parent] from {_FIRST} x union all select list_append(path, e.child) from ways join edges e on e.parent = path[-1] where not list_contains(path, e.child) and path[-1] <> (select part from far)",
+}
+add("graph_paths", _paths, "select array_to_string(path, '>') as path, cast(len(path) - 1 as int) n_links from ways where len(path) > 1 and path[-1] = (select part from far) order by len(path), path limit 25", _WAYS, True)
 
 
 def _criticality(t: Tables) -> DataFrame:
@@ -164,5 +170,12 @@ def _replace(t: Tables) -> DataFrame:
     return impact.replacement_report(t.fact_bom, t.dim_part, p, old, new)
 
 
-add("scenario_replace", _replace)
+_SWAP = _TWO | {
+    "old": "select min(child_part_key) o from fact_bom, two where parent_part_key = a",
+    "swapped": "select distinct parent_part_key parent, case when parent_part_key = a and child_part_key = o then b else child_part_key end child from fact_bom, two, old where parent_part_key is not null and child_part_key is not null",
+    "run(part, below)": "select parent, child from swapped union select r.part, s.child from run r join swapped s on s.parent = r.below",
+    "status": "select max(lifecycle_status) filter (part_key = o) os, max(coalesce(lifecycle_status, '?')) filter (part_key = b) ns from dim_part, two, old",
+}
+add("scenario_replace", _replace, """select (select count(*) from fact_bom, two, old where parent_part_key = a and child_part_key = o) relationships_replaced, case when os = 'OBSOLETE' then 'XFLD-004' else '' end resolved_rules,
+    concat_ws('; ', case when ns is null then 'replacement doesn''t exist' end, case when ns in ('OBSOLETE', 'BLOCKED') then 'replacement is ' || lower(ns) end, case when exists (select 1 from run where part = below) then 'the structure has a cycle' end) warnings from status""", _SWAP, True)
 add("scenario_correct", lambda t: impact.correction_report(t.dim_part, "uom", t.dim_part.where("uom is not null").select("part_key", F.when(F.col("uom") == "PCS", "PC").when(F.col("uom") == "EACH", "EA").otherwise(F.col("uom")).alias("new_value")), UOMS), "select part_key, uom old_value, n new_value, case when n in (select uom_code from uom_codes) then 'VALD-001' else '' end resolved_rules, case when n in (select uom_code from uom_codes) then '' else 'unit isn''t governed' end as warning from (select part_key, uom, case uom when 'PCS' then 'PC' when 'EACH' then 'EA' else uom end n from dim_part where uom is not null)")
