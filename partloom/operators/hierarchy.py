@@ -188,7 +188,7 @@ class Hierarchy:
         found, n, _ = self._step(cross.unionByName(nest), self.n_inner_links)
         own = self.nodes.select(F.col("part").alias("parent"), F.col("near").alias("src"), F.col("pre").alias("pos"), (F.col("off") + 1).alias("w"), F.col("depth").alias("at"))
         spans = self.nodes.where("entry").select(F.col("part").alias("src"), F.col("size").alias("span"))
-        self.tails, self.n_tails, _ = self._step(found.join(own, "parent").join(spans, "src").select("src", F.col("child").alias("head"), "pos", "w", "at", "span", F.col("parent").alias("tail"), "cross"), max(n, 1))
+        self.tails, self.n_tails, _ = self._step(join_unique(join_unique(found, own, "parent", "inner", n=n), spans, "src", "inner", n=n).select("src", F.col("child").alias("head"), "pos", "w", "at", "span", F.col("parent").alias("tail"), "cross"), max(n, 1))
         self.bits = max(1, (self.n_edges + self.n_nodes).bit_length())
 
     def _trimmed(self, both: bool) -> tuple[DataFrame, int]:

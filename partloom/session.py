@@ -112,13 +112,18 @@ def state_of(spark: SparkSession, folder: str) -> str:
     return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()
 
 
+def _is_written(spark: SparkSession, path: str) -> bool:
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
 def kept(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table `name` over the files of a folder, built and written to the shared folder on first use and read from there later in the session.
 
-    A change of any of the folder's files builds it anew.
+    A change of any of the folder's files builds it anew, and so does the loss of the written table.
     """
     at = (spark.sparkContext.applicationId, folder, state_of(spark, folder), name)
-    if at not in _kept:
+    if at not in _kept or not _is_written(spark, _kept[at]):
         table, _, path = Cuts(spark, "kept").write(build())
         _kept[at] = path
         return table

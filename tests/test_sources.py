@@ -73,3 +73,21 @@ def test_made_up_data_follows_the_input(spark, tmp_path):
     assert n["part_master"] >= 950 and n["suppliers"] == 63
     spark.range(5).selectExpr("concat('P', id) part_id").write.mode("overwrite").parquet(f"{tmp_path}/part_master.parquet")
     assert extras._profile(spark, str(tmp_path), seed=11) == extras.Profile(seed=11)
+
+
+def test_kept_tables_follow_the_files(spark, tmp_path):
+    from partloom import session
+
+    folder, built = str(tmp_path), []
+
+    def build():
+        built.append(1)
+        return spark.range(len(built))
+
+    spark.range(3).write.parquet(f"{folder}/t.parquet")
+    assert session.kept(spark, folder, "x", build).count() == session.kept(spark, folder, "x", build).count() == 1
+    spark.range(4).write.mode("overwrite").parquet(f"{folder}/t.parquet")
+    assert session.kept(spark, folder, "x", build).count() == 2
+    lost = [p for (a, f, _, n), p in session._kept.items() if f == folder]
+    session.Cuts(spark, "drop").drop(lost[-1])
+    assert session.kept(spark, folder, "x", build).count() == 3 and len(built) == 3
