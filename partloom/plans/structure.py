@@ -11,6 +11,7 @@ from partloom.operators import graph, impact
 from partloom.operators.hierarchy import Hierarchy
 from partloom.operators.stars import weak_groups
 from partloom.plans.core_sql import with_tables
+from partloom.session import is_written, state_of
 from partloom.sources.binding import UOMS, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,8 +37,15 @@ def _edges(t: Tables) -> DataFrame:
     return t.kept("edges", lambda: graph.edges_of(t.fact_bom))
 
 
+_built: dict[tuple[str, str, str], Hierarchy] = {}
+
+
 def _hierarchy(t: Tables) -> Hierarchy:
-    return Hierarchy(_edges(t).select("parent", "child"))
+    """The hierarchy of the folder's links, built once for the session; anew if its files change or its tables are lost."""
+    at = (t.spark.sparkContext.applicationId, t.folder, state_of(t.spark, t.folder))
+    if at not in _built or not is_written(t.spark, f"{_built[at].cuts.root}/0001"):
+        _built[at] = Hierarchy(_edges(t).select("parent", "child"))
+    return _built[at]
 
 
 def _reach(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -83,14 +91,14 @@ _LOOPS = _REACH | {
 }
 _DEPTH = "select part, cast(max(n) as bigint) depth, false endless from chain group by 1 union all select part, (select count(*) from reached r where r.part = e.part), true from endless e"
 add("graph_depth", _depth, _DEPTH, _LOOPS, True)
-add("graph_expand", lambda t: (lambda e: graph.expansion(Hierarchy(e.select("parent", "child")), e, _first(t, 1)[0]))(_edges(t)), f"select parent, child, cast(lvl + 1 as bigint) as level, quantity_per from (select part, min(lvl) lvl from tree group by 1) join edges on parent = part", {"edges": _EDGES, "tree(part, lvl)": f"select * from (select x.parent, 0 from {_FIRST} x) union select e.child, lvl + 1 from tree join edges e on e.parent = part where lvl < 60"}, True)
+add("graph_expand", lambda t: (lambda e: graph.expansion(_hierarchy(t), e, _first(t, 1)[0]))(_edges(t)), f"select parent, child, cast(lvl + 1 as bigint) as level, quantity_per from (select part, min(lvl) lvl from tree group by 1) join edges on parent = part", {"edges": _EDGES, "tree(part, lvl)": f"select * from (select x.parent, 0 from {_FIRST} x) union select e.child, lvl + 1 from tree join edges e on e.parent = part where lvl < 60"}, True)
 add("graph_weak_groups", lambda t: weak_groups(_edges(t).select("parent", "child")), "select min(other) group_key, part from meet group by 2", {"edges": _EDGES, "ends_": "select parent a, child b from edges union select child, parent from edges", "meet(part, other)": "select a, a from ends_ union select m.part, x.b from meet m join ends_ x on x.a = m.other"}, True)
 add("graph_cycles", lambda t: graph.simple_cycles(_hierarchy(t)).select(F.array_join("cycle", ">").alias("cycle"), "n_links"), "select array_to_string(path, '>') as cycle, cast(len(path) as int) n_links from run join edges e on e.parent = path[-1] and e.child = path[1]", {"edges": _EDGES, "run(path)": "select [parent, child] from edges where child > parent union all select list_append(path, e.child) from run join edges e on e.parent = path[-1] where e.child > path[1] and not list_contains(path, e.child) and len(path) < 12"}, True)
 
 
 def _paths(t: Tables) -> DataFrame:
     e = _edges(t)
-    h = Hierarchy(e.select("parent", "child"))
+    h = _hierarchy(t)
     seed = t.spark.createDataFrame([(_first(t, 1)[0],)], "part string")
     far = h.places(seeds=seed).orderBy(F.desc("level"), "part").first()
     return graph.simple_paths(e.select("parent", "child"), far["root"], far["part"]).select(F.array_join("path", ">").alias("path"), "n_links")
@@ -126,7 +134,7 @@ add("graph_concentration", _concentration, _CONC, _REACH, True)
 
 def _validation(t: Tables) -> DataFrame:
     e = _edges(t)
-    return graph.validation(e, t.dim_part, Hierarchy(e.select("parent", "child")))
+    return graph.validation(e, t.dim_part, _hierarchy(t))
 
 
 add("graph_validation", _validation, """select (select count(*) from deg) nodes, (select count(*) from edges) edges, (select count(*) from edges where parent = child) self_references, (select count(*) from walk where part = below) parts_on_cycles,

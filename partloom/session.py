@@ -112,7 +112,8 @@ def state_of(spark: SparkSession, folder: str) -> str:
     return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()
 
 
-def _is_written(spark: SparkSession, path: str) -> bool:
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether the table at a path was written whole and is still there."""
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
 
@@ -123,7 +124,7 @@ def kept(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFr
     A change of any of the folder's files builds it anew, and so does the loss of the written table.
     """
     at = (spark.sparkContext.applicationId, folder, state_of(spark, folder), name)
-    if at not in _kept or not _is_written(spark, _kept[at]):
+    if at not in _kept or not is_written(spark, _kept[at]):
         table, _, path = Cuts(spark, "kept").write(build())
         _kept[at] = path
         return table
