@@ -82,3 +82,26 @@ def test_refusals(spark, question, refused):
     from partloom.operators import documents
 
     assert documents.classify(spark.createDataFrame([(question,)], "q string"), "q").first()["refused"] is refused
+
+
+def test_training_metrics_and_kept_models(spark, tmp_path):
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    names = list(resolve.WEIGHTS)
+    data = spark.createDataFrame([(f"a{i}", f"b{i}", ("train", "train", "train", "validation", "test")[i % 5], int(i % 3 == 0), *[0.9 - 0.01 * (i % 7) if i % 3 == 0 else 0.1 + 0.01 * (i % 5) for _ in names]) for i in range(300)], "a string, b string, part string, label int, " + ", ".join(f"{n} double" for n in names))
+    runs = []
+    for model in ("logistic", "boosted"):
+        fitted, cut, metrics = resolve.train(data, model)
+        m = metrics.first()
+        assert (m["precision"], m["recall"], m["false_positive_rate"], m["false_negative_rate"]) == (1.0, 1.0, 0.0, 0.0) and 0 < cut <= 1
+        resolve.save_model(fitted, cut, str(tmp_path / model))
+        again, kept_cut, features = resolve.load_model(spark, str(tmp_path / model))
+        assert kept_cut == cut and features == names and type(again) is type(fitted)
+        one = spark.newSession().createDataFrame([([0.9] * len(names),)], "v array<double>").select(array_to_vector("v").alias("features"))
+        assert again.transform(one).first()["prediction"] == 1.0
+        runs.append(metrics)
+    spread = resolve.dispersion(runs[0].union(runs[0]).withColumn("f1", F.lit(0.5)))
+    assert rows(spread, "model", "precision_mean", "f1_std", "f1_min") == [("logistic", 1.0, 0.0, 0.5)]
+    with pytest.raises(ValueError):
+        resolve.train(data.withColumn("label", F.lit(0)))
