@@ -112,3 +112,31 @@ def test_pages(spark):
     assert got == [["d", "a"], ["b", "c"], []]
     t = spark.createDataFrame([("50% off",), ("50 off",)], "description string")
     assert lookups.matching(t, "50%", ("description",)).count() == 1
+
+
+def test_matches_within_blocks_are_those_of_all_candidates(spark, tmp_path):
+    from partloom.operators import staging
+
+    words = ["BOLT", "NUT", "STAINLESS", "SS", "STEEL", "BRACKET", "M8X40", "ZINC-COATED", "", "ß bolt"]
+    raw = spark.createDataFrame(
+        [(f" prt{i % 280}", f"FAS-1234{i % 90:02d}{'x' * (i % 3)}" if i % 7 else None, f"S_{i % 3}", " ".join(words[(i * k) % 10] for k in (1, 3, 7)) if i % 11 else None, "FAS" if i % 5 else None, "EA" if i % 4 else "KG", f"MPN-{i % 60:08d}" if i % 6 else "n/a", float(i % 40), i % 30, i % 2) for i in range(300)],
+        "part_id string, source_part_number string, source_system string, description string, category string, uom string, manufacturer_part_number string, standard_cost double, lead_time_days int, _ingested_at int",
+    ).selectExpr("*", "'ACTIVE' lifecycle_status", "'BUY' procurement_type", "'EUR' currency", "'PL01' primary_plant", "1 bom_tier", "'2026-01-01' created_date", "cast(null as string) last_updated")
+    core, slim = staging.parts(raw), staging.parts_to_match(raw)
+    assert rows(slim) == rows(core, *slim.columns) and slim.count() == 280
+    p = resolve.prepared(slim)
+    blocks = [r[0] for r in resolve.block_keys(p).groupBy("block").count().where("count between 2 and 200").collect()]
+    assert len(blocks) > 3
+    for least in (0.0, 0.3, 0.7):
+        every = resolve.features(resolve.candidate_pairs(p), p).collect()
+        want = set()
+        for r in every:
+            ratio = lambda x, y: SequenceMatcher(None, x, y).ratio() if x and y else 0.0
+            s = sum(r[k] * w for k, w in resolve.WEIGHTS.items() if k not in resolve.CHAR_FEATURES) + 0.14 * ratio(r["pn_a"], r["pn_b"]) + 0.08 * ratio(r["text_a"], r["text_b"])
+            if s >= least + 1e-9:
+                want.add((r["a"], r["b"], round(s, 3)))
+        got = resolve.matches_within_blocks(p, least).collect()
+        assert want and {(r["a"], r["b"]) for r in got} == {(a, b) for a, b, _ in want} and len(got) == len(want)
+    # the pairs are never shuffled as candidates: all that moves are the parts in their blocks
+    plan = resolve.met(p)._jdf.queryExecution().optimizedPlan().toString()
+    assert "part_key" in plan and plan.count("Join Inner") == 1
