@@ -3,8 +3,9 @@
 Method: the expression of a column is induced by minimum description length over all its distinct values
 (`induce_forms`); values that no shape of the chosen level describes more cheaply than spelling them out do not
 conform, and coverage is compared between loads (`form_coverage`) alongside the standard aggregates.
-Where a form is declared for a column (`Column.form`), the declared one decides what is bad (`load_profile`):
-an induced expression follows what is frequent, also when what is frequent is wrong.
+Where a form is declared for a column (`Column.form`), it labels the values the expression is induced from
+(`agreed_forms`): left to itself an induced expression follows what is frequent, also when what is frequent is
+wrong. The values no part of that expression is true for are bad (`conforming`, `load_profile`).
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from partloom.functions.keys import key
+from partloom.session import Cuts
 
 
 @dataclass(frozen=True)
@@ -82,14 +84,20 @@ def weighted_median(rows: DataFrame, by: list[str], x: str, w: str, out: str) ->
     return at.groupBy(*by).agg(((first("_lo") + first("_hi")) / 2).cast("double").alias(out))
 
 
-def load_profile(counts: DataFrame, columns: list[Column]) -> DataFrame:
+def _right(columns: list[Column]) -> Col:
+    """Whether a value is not null and of its column's declared form; any value is where none is declared."""
+    right = reduce(lambda e, c: e.when(F.col("column_name") == c.name, F.expr(c.form) if c.form else F.lit(True)), columns, F.when(F.lit(False), True))
+    return F.coalesce(F.when(F.col("value").isNotNull(), right), F.lit(False))
+
+
+def load_profile(counts: DataFrame, columns: list[Column], fits: str | None = None) -> DataFrame:
     """(feed, load_no, column_name, n, nulls, bad, distinct, centre, low, high): shares per feed, load and column.
 
-    bad: non-null values against the declared form; 0 where none is declared. centre: mean length of texts, median of
-    numbers of right form (0 if none), null for codes. low and high: smallest and largest non-null value (numbers by value).
+    bad: non-null values of wrong form, which is told by the column `fits` of counts (`conforming`) or else by the declared
+    form; 0 where none is declared. centre: mean length of texts, median of numbers of right form (0 if none), null for
+    codes. low and high: smallest and largest non-null value (numbers by value).
     """
-    right = reduce(lambda e, c: e.when(F.col("column_name") == c.name, F.expr(c.form) if c.form else F.lit(True)), columns, F.when(F.lit(False), True))
-    ok = F.coalesce(F.when(F.col("value").isNotNull(), right), F.lit(False))
+    ok = F.col(fits) if fits else _right(columns)
     numbers, texts = [c.name for c in columns if c.kind == "number"], [c.name for c in columns if c.kind == "text"]
     some = F.col("value").isNotNull()
     number = F.when(F.col("column_name").isin(numbers), F.expr("try_cast(value as double)"))
@@ -149,6 +157,12 @@ CLASSES = (("[A-Z]", "U", 4.7), ("[a-z]", "L", 4.7), ("[0-9]", "D", 3.33))
 LITERAL_BITS, LENGTH_BITS, SHAPE_BITS = 7.0, 5.0, 8.0
 
 
+def _fixed() -> Col:
+    """The fixed shape of column value: a letter of its class for each character of one."""
+    plain = "".join(chr(c) for first, last in ("AZ", "az", "09") for c in range(ord(first), ord(last) + 1))
+    return F.translate("value", plain, "U" * 26 + "L" * 26 + "D" * 10)
+
+
 def _levels() -> list[tuple[str, Col, Col]]:
     """(level, shape, data bits) of column value: each level is more general than the one before."""
     v = F.col("value")
@@ -196,6 +210,11 @@ def _expression() -> Col:
     return F.concat(F.lit(r"\A"), body, F.lit(r"\z"))
 
 
+def _cost() -> Col:
+    """The bits of a shape: its symbols, and for each of its values the choice of the shape and the characters within it."""
+    return F.length("shape") * SHAPE_BITS + F.col("bits") + F.col("n_values") * F.log2(F.col("n_all") / F.col("n_values"))
+
+
 def induce_forms(counts: DataFrame) -> DataFrame:
     """(column_name, level, shape, n_values, expression): the induced expression of each column, one row per shape it consists of; expression can be run on values.
 
@@ -207,13 +226,44 @@ def induce_forms(counts: DataFrame) -> DataFrame:
     spelled = F.length("value") * LITERAL_BITS + LENGTH_BITS
     shapes = _shaped(values, ["column_name"]).groupBy("column_name", "lv", "level", "shape").agg(F.count(F.lit(1)).alias("n_values"), F.sum("bits").alias("bits"), F.sum(spelled).alias("plain"))
     size = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_all"))
-    cost = F.length("shape") * SHAPE_BITS + F.col("bits") + F.col("n_values") * F.log2(F.col("n_all") / F.col("n_values"))
-    priced = shapes.join(F.broadcast(size), "column_name").withColumn("cost", cost).withColumn("kept", F.col("cost") < F.col("plain"))
+    priced = shapes.join(F.broadcast(size), "column_name").withColumn("cost", _cost()).withColumn("kept", F.col("cost") < F.col("plain"))
     total = priced.groupBy("column_name", "lv").agg(F.sum(F.least("cost", "plain")).alias("total"))
     best = total.groupBy("column_name").agg(F.min(F.struct("total", "lv")).alias("m")).select("column_name", F.col("m.lv").alias("lv"))
     return priced.join(F.broadcast(best), ["column_name", "lv"]).where("kept").select("column_name", "level", "shape", "n_values", _expression().alias("expression"))
 
 
+def agreed_forms(counts: DataFrame, columns: list[Column]) -> DataFrame:
+    """(column_name, fixed, value, level, shape, expression): the parts of each column's induced expression that agrees with its declared form.
+
+    Priced as in induce_forms, with the declared form as label of the distinct values it learns from: a shape that a
+    value of wrong form has is left out whatever its price, and the values of right form without a shape are spelled out in
+    the expression (level constant). One row per fixed shape that a part covers (value is null) and per value that is spelled out
+    (fixed is null). Every level above constant depends on the fixed shape alone, so they are tried once per fixed shape, on a made-up value of it.
+    """
+    values = counts.where("value is not null").select("column_name", "value").distinct().select("column_name", "value", _fixed().alias("fixed"), _right(columns).alias("right"))
+    drawn = values.groupBy("column_name", "fixed").agg(F.count(F.lit(1)).alias("n"), F.count_if("right").alias("n_right")).withColumn("value", F.translate("fixed", "ULD", "Aa0"))
+    cells = Cuts(counts.sparkSession, "shapes").write(_shaped(drawn, ["column_name", "fixed", "n", "n_right"]).where("level <> 'constant'"))[0]
+    spelled = F.length("value") * LITERAL_BITS + LENGTH_BITS
+    shapes = cells.groupBy("column_name", "lv", "level", "shape").agg(F.sum("n").alias("n_values"), F.sum("n_right").alias("n_right"), F.sum(F.col("bits") * F.col("n")).alias("bits"), F.sum(spelled * F.col("n")).alias("plain"))
+    size = cells.where("level = 'any'").groupBy("column_name").agg(F.sum("n").alias("n_all"))
+    kept = (F.col("cost") < F.col("plain")) & (F.col("n_right") == F.col("n_values"))
+    priced = shapes.join(F.broadcast(size), "column_name").withColumn("cost", _cost()).withColumn("kept", kept)
+    total = priced.groupBy("column_name", "lv").agg(F.sum(F.when(F.col("kept"), F.col("cost")).otherwise(F.col("plain"))).alias("total"))
+    best = total.groupBy("column_name").agg(F.min(F.struct("total", "lv")).alias("m")).select("column_name", F.col("m.lv").alias("lv"))
+    chosen = priced.join(F.broadcast(best), ["column_name", "lv"]).where("kept").select("column_name", "level", "shape")
+    covers = cells.join(chosen, ["column_name", "level", "shape"], "left_semi").select("column_name", "fixed", F.lit(None).cast("string").alias("value"), "level", "shape")
+    listed = values.where("right").join(covers, ["column_name", "fixed"], "left_anti").select("column_name", F.lit(None).cast("string").alias("fixed"), "value", F.lit("constant").alias("level"), F.col("value").alias("shape"))
+    return covers.unionByName(listed).withColumn("expression", _expression())
+
+
+def conforming(counts: DataFrame, forms: DataFrame) -> DataFrame:
+    """counts with fits: whether a part of the column's induced expression (`agreed_forms`) is true for the value; false for null."""
+    by_shape = forms.where("fixed is not null").select("column_name", "fixed", F.lit(True).alias("by_shape"))
+    by_value = forms.where("value is not null").select("column_name", "value", F.lit(True).alias("by_value"))
+    met = counts.withColumn("fixed", _fixed()).join(by_shape, ["column_name", "fixed"], "left").join(by_value, ["column_name", "value"], "left")
+    return met.select(*counts.columns, F.coalesce("by_shape", "by_value", F.lit(False)).alias("fits"))
+
+
 def form_coverage(counts: DataFrame, forms: DataFrame) -> DataFrame:
     """(feed, load_no, column_name, n_conforming, n_nonconforming, coverage, change): rows against the induced expression per load.
 

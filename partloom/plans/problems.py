@@ -66,7 +66,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     codes = small_list(table(spark, d, "product_category"), "category_code")
     columns = p5_columns(codes)
     counts = _counts(spark, d, [c.name for c in columns])
-    return profile.departures(profile.load_profile(counts, columns), profile.mix_shift(counts, "category", codes))
+    forms = Cuts(spark, "forms").write(profile.agreed_forms(counts, columns))[0]
+    return profile.departures(profile.load_profile(profile.conforming(counts, forms), columns, "fits"), profile.mix_shift(counts, "category", codes))
 
 
 OTHER_COLUMNS = {"source_system": "code", "uom": "code", "lifecycle_status": "code", "procurement_type": "code", "standard_cost": "number", "primary_plant": "code", "bom_tier": "number"}

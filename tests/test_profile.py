@@ -71,3 +71,36 @@ def test_induced_expressions_can_be_run(spark):
     bad = pairs.where("level <> 'any' and own <> hit").collect()
     assert bad == []
     assert profile.induce_forms(counts).where("expression is null").count() == 0
+
+
+def test_agreed_forms_tell_right_from_wrong(spark):
+    """Run on values, the expressions are true for just those of the declared form, and they are more than a list of them."""
+    values = {
+        "description": [f"BOLT M{i}-{i * 7}" for i in range(40)] + [f"bolt m{i}-{i}" for i in range(40)] + ["BOLT_M1", "NUT ", "RARE.(X)", "Q/R.7", "A+B"],
+        "category": ["A", "B", "C", "a", "AA"],
+        "lead": [str(i) for i in (*range(-3, 40), *range(300, 420), 999)],
+        "free": ["x", "", "Y1"],
+    }
+    counts = spark.createDataFrame([("f", 1, c, v, 1) for c in values for v in values[c]] + [("f", 1, "lead", None, 4)], "feed string, load_no long, column_name string, value string, n long")
+    columns = [*COLUMNS, Column("free", "text")]
+    forms = profile.agreed_forms(counts, columns).cache()
+    judged = profile.conforming(counts, forms).withColumn("right", profile._right(columns)).cache()
+    assert judged.count() == counts.count() and judged.where("fits <> right").count() == 0
+    hits = counts.join(forms.select("column_name", "expression"), "column_name").where("value rlike expression").select("column_name", "value").distinct()
+    assert rows(hits) == rows(judged.where("right").select("column_name", "value"))
+    assert rows(forms.where("column_name = 'lead' and fixed is not null"), "expression") == [("\\A[0-9][0-9]\\z",)]
+    assert forms.where("column_name = 'description' and level <> 'constant'").count() > 0
+    assert profile.agreed_forms(counts.limit(0), columns).count() == 0
+
+
+def test_p5_found_counts_by_the_induced_expressions(spark, tmp_path, monkeypatch):
+    """Values are of right form by the expressions only: without the one that NUT-12 fits, load 5 departs."""
+    from partloom.plans import problems
+
+    parts = [("f", n, f"P{d}", f"NUT-{d}" if n == 5 and d % 2 else f"BOLT M{d}", "A", d, n) for n in range(1, 6) for d in range(10, 70)]
+    spark.createDataFrame(parts, "_source_system_file string, load_no int, part_key string, description string, category string, lead_time_days int, _ingested_at int").write.parquet(str(tmp_path / "dim_part.parquet"))
+    spark.createDataFrame([("A",), ("B",)], "category_code string").write.parquet(str(tmp_path / "product_category.parquet"))
+    assert rows(problems.p5_found(spark, str(tmp_path))) == []
+    whole = profile.agreed_forms
+    monkeypatch.setattr(profile, "agreed_forms", lambda counts, columns: whole(counts, columns).where("not 'NUT-12' rlike expression"))
+    assert rows(problems.p5_found(spark, str(tmp_path))) == [("f", 5, "description", "pattern")]
